@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from factloom.llm.exact_topk import ORACLE as OP10
-from factloom.llm.exact_topk import op10_exact_topk
+from factloom.llm import archives, exact_topk
 
-QUERIES = {"op10_exact_topk": op10_exact_topk}
-ORACLE_SQL = {"op10_exact_topk": OP10}
+QUERIES = {
+    "op9_legacy_archives": archives.op9_legacy_archives,
+    "op10_exact_topk": exact_topk.op10_exact_topk,
+}
+ORACLE_SQL = {
+    "op9_legacy_archives": archives.ORACLE,
+    "op10_exact_topk": exact_topk.ORACLE,
+}
