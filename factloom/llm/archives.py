@@ -63,7 +63,7 @@ def arc_start(version: int, filename: str, date: str) -> bytes:
 
 
 def clean_uri(uri: str | None) -> str:
-    return re.sub(r"[\x00-\x20\x7f-\xa0  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri) if uri else "urn:missing"
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri) if uri else "urn:missing"
 
 
 def http_block(page_id: int | None, payload: bytes) -> bytes:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from factloom.llm import archives, exact_topk
+from factloom.llm import archives, exact_topk, licences, url_lists
 
 QUERIES = {
+    "op1_licences": licences.op1_licences,
+    "op5_url_lists": url_lists.op5_url_lists,
     "op9_legacy_archives": archives.op9_legacy_archives,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
 ORACLE_SQL = {
+    "op5_url_lists": url_lists.ORACLE,
     "op9_legacy_archives": archives.ORACLE,
     "op10_exact_topk": exact_topk.ORACLE,
 }
