@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import archives, exact_topk, licences, url_lists
+from factloom.llm import archives, exact_topk, licences, packing, url_lists
 
 QUERIES = {
     "op1_licences": licences.op1_licences,
     "op5_url_lists": url_lists.op5_url_lists,
+    "op8_packing": packing.op8_packing,
     "op9_legacy_archives": archives.op9_legacy_archives,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
