@@ -158,7 +158,7 @@ def write_arc(records: DataFrame, path: str) -> None:
             yield _texts(parts, 1)
 
     rows = records.select("page_id", "url", "payload", "date").mapInArrow(pack, "value string")
-    rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", "\n").text(path)
+    rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(path)
 
 
 def _archives(spark, path: str) -> DataFrame:
@@ -216,7 +216,7 @@ def convert(spark, source: str, target: str, least: int = LEAST_REVISIT) -> None
                 yield _texts(parts, 2)
 
     pairs = _archives(spark, source).join(again, "path", "left").select("content", F.col("again"))
-    pairs.mapInArrow(rewrite, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", "\r\n").text(target)
+    pairs.mapInArrow(rewrite, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").text(target)
 
 
 def read_warc(spark, path: str) -> DataFrame:
