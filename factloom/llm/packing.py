@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from factloom.session import materialize
 
 SEQ_LEN, UNIT, END_ID = 4096, 16, 2
-#: Entries in the memory of encoded chunks, about 120 MB; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Entries in the memory of encoded chunks, about 150 MB; beyond it the memory starts anew.
+MEMORY = 800_000
 #: Outside this range characters can compose, or lower case depends on context.
 COMPOSES = re.compile("[^\x00-\u012f\u0131-\u017f]")
 SALT_ROWS, LEAST_SALTS = 10_000, 64
@@ -53,9 +53,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _learn(self, chunks: list[str]) -> None:
         part = [c for c in chunks if c not in self.known]
+        words = [c for c in part if c.isalpha()]
+        groups = [words[at : at + 50] for at in range(0, len(words), 50)]
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # a word of letters ends with its only word end
+            if len(cuts) == len(some):
+                data, bounds = ids.tobytes(), [0, *cuts.tolist()]
+                self.known.update([(w, data[s:e]) for w, s, e in zip(some, bounds, bounds[1:], strict=False)])
+        part = [c for c in part if c not in self.known]
         for at in range(0, len(part), 10_000):
             for chunk, found in zip(part[at : at + 10_000], self.tokenizer.encode_batch_fast(part[at : at + 10_000], add_special_tokens=False), strict=True):
                 self.known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
