@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import archives, decontamination, exact_topk, licences, packing, personal_data, url_lists
+from factloom.llm import archives, decontamination, exact_topk, licences, packing, personal_data, resampling, url_lists
 
 QUERIES = {
     "op1_licences": licences.op1_licences,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_resampling": resampling.op3_resampling,
     "op4_personal_data": personal_data.op4_personal_data,
     "op5_url_lists": url_lists.op5_url_lists,
     "op8_packing": packing.op8_packing,
