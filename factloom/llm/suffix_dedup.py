@@ -6,8 +6,9 @@ documents, and are judged on the input.
 1. Each text is cut into anchor contexts (see ``anchors``): each start of a string belongs to one anchor, and equal strings
    have equal anchors at equal distance. So strings are only to be compared within a group of equal anchors; groups of
    one fall away. This is exact: nothing is sampled.
-2. Equal contexts are counted, and one of each is kept with its count.
-3. The bytes of these contexts are fetched and dealt out by group, and each task sorts the suffixes of a batch of contexts in
+2. Equal contexts are counted, and one of each is kept with its count. Where a group has but one context, which then occurs
+   more than once, all its strings occur again.
+3. The bytes of the other contexts are fetched and dealt out by group, and each task sorts the suffixes of a batch of contexts in
    two stages: suffixes smaller than their successors are sorted directly; all others are induced in one scan over the
    buckets of first bytes, since such a suffix follows from its successor, which is in order already. Order and common
    prefixes count up to ``span`` bytes. Adjacent common prefixes of ``span`` bytes tell the strings that occur again.
@@ -39,7 +40,8 @@ from factloom.llm.anchors import anchors, mix
 from factloom.session import materialize
 
 SPAN, GRAM = 200, 64
-MOST_CONTEXTS = 1000
+#: Contexts that one task may sort together: at most 16,384 of at most 2 * SPAN bytes, 6.5 MB.
+MOST_CONTEXTS = 16_384
 #: Bytes that are laid end to end at once for anchors, and sorted at once. A longer text is cut where no string is lost.
 BLOCK, SORT_BYTES = 1 << 20, 2 << 20
 BROADCAST_ROWS = 100_000
@@ -48,8 +50,12 @@ BROADCAST_ROWS = 100_000
 # --- two-stage suffix sorting
 
 
-def suffix_order(data: bytes, depth: int) -> np.ndarray:
-    """Starts of all suffixes in order of their first ``depth`` bytes (the end of the data counts as smallest)."""
+def suffix_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of suffixes in order of their first ``depth`` bytes (the end of the data counts as smallest).
+
+    Given ``wanted`` starts, only these are ordered, with the few that follow a run of them up to the next suffix that is
+    sorted directly; all others are left out of both stages.
+    """
     n = len(data)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
@@ -60,28 +66,35 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
     nearest = change[np.searchsorted(change, np.arange(n))]
     larger = t[nearest] > follow[nearest]
 
-    small = np.flatnonzero(~larger).tolist()
-    small.sort(key=lambda i: data[i : i + depth])  # stage one: direct
-    small = np.array(small, dtype=np.int64)
+    small = np.flatnonzero(~larger)
+    use = np.ones(n, dtype=bool)
+    if wanted is not None:  # a larger suffix needs its successors up to a smaller one
+        ends = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        stops = np.append(small, n - 1)[np.searchsorted(small, ends)]
+        use = np.cumsum(np.bincount(np.concatenate([ends, [n]]), minlength=n + 1) - np.bincount(np.concatenate([stops, [n]]), minlength=n + 1))[:n] > 0
+        use |= wanted
+        use[stops] = True
+        small = small[use[small]]
+    small = np.array(sorted(small.tolist(), key=lambda i: data[i : i + depth]), dtype=np.int64)  # stage one: direct
     bounds = np.searchsorted(t[small], np.arange(257))
 
     # Stage two: bucket by bucket, first the larger suffixes (induced), then the smaller ones (sorted).
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out: list[np.ndarray] = []
+    induced = larger & use
 
     def induce(done: np.ndarray, bucket: int) -> np.ndarray:
         """Hand the predecessors of suffixes in order to their buckets; those of this bucket are returned."""
         before = done[done > 0] - 1
-        before = before[larger[before]]
+        before = before[induced[before]]
         first = t[before]
         for c in np.unique(first):
             if c != bucket:
                 waiting[c].append(before[first == c])
         return before[first == bucket]
 
-    # The last suffix is larger than the empty one that follows it.
-    last = np.array([n - 1])
-    waiting[t[n - 1]].append(last)
+    if use[n - 1]:  # the last suffix is larger than the empty one that follows it
+        waiting[t[n - 1]].append(np.array([n - 1]))
     for c in range(256):
         queue = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, dtype=np.int64)
         while len(queue):  # a run of one byte induces within its bucket, one byte of it at a time
@@ -91,7 +104,7 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
         if len(part):
             out.append(part)
             induce(part, c)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def common_prefixes(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -113,9 +126,9 @@ def repeated_starts(contexts: list[bytes], counts: list[int], span: int) -> list
     ends = np.cumsum([len(c) for c in contexts])
     begin = ends - [len(c) for c in contexts]
     data = b"".join(contexts)
-    order = suffix_order(data, span)
-    room = np.repeat(ends, ends - begin) - np.arange(len(data))
-    order = order[room[order] >= span]  # only strings that lie within a context
+    whole = np.repeat(ends, ends - begin) - np.arange(len(data)) >= span  # strings that lie within a context
+    order = suffix_order(data, span, whole)
+    order = order[whole[order]]
     padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(span + 8, np.uint8)])
     equal = common_prefixes(padded, order[:-1], order[1:], span) >= span
     again = np.zeros(len(data), dtype=bool)
@@ -219,17 +232,19 @@ def repeated_ranges(texts: DataFrame, span: int = SPAN, gram: int = GRAM, most:
     """(k1, k2, start, end): ranges of bytes covered by repeated strings, not merged."""
     spark = texts.sparkSession
     found = find_anchors(texts, span, gram)
-    twice = found.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "twice")
     met = materialize(found.join(twice, "h"), "anchors")
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files behind what is written now
 
     one = F.min(F.struct("k1", "k2", "low", "n")).alias("one")
     contexts = met.groupBy("h", "c").agg(F.count("*").alias("copies"), one)
-    groups = contexts.groupBy("h").agg(F.count("*").alias("kinds"))
+    contexts = materialize(contexts, "contexts")
+    groups = materialize(contexts.groupBy("h").agg(F.count("*").alias("kinds")), "groups")
     contexts = materialize(contexts.join(groups, "h"), "contexts")
-
-    wanted = contexts.select("one.k1", "one.k2", F.struct("h", "c", "copies", "one.low", "one.n", "kinds").alias("x"))
+    # A group of one context, which occurs more than once: all its strings do. The others are sorted.
+    alone = contexts.filter("kinds = 1").select("h", "c", F.lit(0).alias("first"), F.col("one.n").alias("past"))
+    wanted = contexts.filter("kinds > 1").select("one.k1", "one.k2", F.struct("h", "c", "copies", "one.low", "one.n", "kinds").alias("x"))
     per_text = wanted.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))  # as long as the text, at most
     fetched = materialize(_with(texts, per_text).select("text", "wanted").mapInArrow(lambda b: _cut_contexts(b, span), "h long, c long, copies long, data binary"), "cuts")
     crowded = groups.filter(F.col("kinds") > most).select("h")
@@ -242,7 +257,7 @@ def repeated_ranges(texts: DataFrame, span: int = SPAN, gram: int = GRAM, most:
     dealt = materialize(dealt, "strings")
     often = dealt.groupBy("s1", "s2").agg(F.sum("copies").alias("m")).filter("m > 1").select("s1", "s2")
     marked = marked.unionByName(dealt.join(often, ["s1", "s2"]).select("h", "c", F.col("at").alias("first"), (F.col("at") + 1).alias("past")))
-    marked = materialize(marked, "marked")
+    marked = materialize(marked.unionByName(alone), "marked")
     return met.join(marked, ["h", "c"]).select("k1", "k2", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("past") - 1 + span).alias("end"))
 
 
