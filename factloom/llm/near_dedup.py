@@ -201,7 +201,7 @@ def _sketch(texts: DataFrame, idf: np.ndarray) -> DataFrame:
         for part, hashed in _batched(batches):
             text, h, count, rare = shingles(hashed, idf)
             drawn = samples(text, h, count * rare, len(hashed), BANDS * ROWS)
-            total = np.bincount(text, weights=count * rare, minlength=len(hashed))
+            total = np.bincount(text, weights=count * rare, minlength=len(hashed)).astype(np.float64)
             bands = bands_of(drawn, ROWS).view(np.int64)
             keys = pa.array([b.tolist() if w > 0 else [] for b, w in zip(bands, total, strict=True)], pa.list_(pa.int64()))
             short = (drawn >> np.uint64(32)).astype("<u4")
