@@ -50,7 +50,7 @@ _HASHES: dict[str, int] = {}
 def word_hashes(text: str | None) -> np.ndarray:
     words = WORD.findall((text or "").lower())
     if new := {w for w in words if w not in _HASHES}:
-        if len(_HASHES) > 500_000:
+        if len(_HASHES) + len(new) > 150_000:
             _HASHES.clear()
             new = set(words)
         _HASHES.update([(w, int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")) for w in new])

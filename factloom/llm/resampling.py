@@ -43,7 +43,7 @@ def ngrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     so do all pairs of a word with itself."""
     words = TOKEN.findall(text or "")
     if new := {w for w in words if w not in _HASHES}:
-        if len(_HASHES) > 500_000:
+        if len(_HASHES) + len(new) > 60_000:
             _HASHES.clear()
             new = set(words)
         _HASHES.update([(w, zlib.crc32(w.lower().encode("utf-8", "replace")) | (len(w) > 1 and w.isupper()) << 32) for w in new])
