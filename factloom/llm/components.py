@@ -25,10 +25,9 @@ def connected(links: DataFrame, *, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.filter("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "large-star")
         down = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = materialize(small, "small-star")
+        small = materialize(small, "stars")
         # Done when every node has one edge and no root hangs on another.
         roots = small.select(F.col("v").alias("u")).distinct()
         crossing = small.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u").unionByName(small.join(roots, "u", "left_semi").select("u"))

@@ -216,7 +216,8 @@ def _close_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
     for batch in batches:
         left: list[bytes] = []
         right: list[bytes] = []
-        for band, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for band, listed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            members = listed.as_py()
             nodes = [m["node"] for m in members]
             weight = np.array([m["weight"] for m in members])
             sketch = np.frombuffer(b"".join(m["sketch"] for m in members), "<u4").reshape(len(members), -1)
@@ -282,7 +283,6 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     node = F.unhex(F.concat(F.lpad(F.hex("t1"), 16, "0"), F.lpad(F.hex("t2"), 16, "0"))).alias("node")
     different = drawn.groupBy("t1", "t2").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select(node, "weight", "bands", "sketch")
     rows = different.select("node", "weight", "sketch", F.posexplode("bands").alias("band", "key"))
-    rows = materialize(rows, "bands")
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialize(rows.join(sizes, ["band", "key"]), "buckets")
 
@@ -294,11 +294,9 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     cells = cells.select("node", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    wanted = materialize(wanted, "wanted")
     noded = texts.select(node, "text")
     noded = noded.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= BROADCAST_ROWS else noded.join(wanted, "node", "left_semi")
-    features = materialize(_features(noded, idf), "features").dropDuplicates(["node"])
-    features = materialize(features, "features")
+    features = materialize(_features(noded.dropDuplicates(["node"]), idf), "features")
     fa, fb = (features.select(F.col("node").alias(c), F.col("f").alias(f"f{c}")) for c in "ab")
     linked = pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(lambda b: _verify(b, least), "a binary, b binary")
     crowd = cells.join(features, "node").groupBy("cell").applyInArrow(lambda t: _cell_links(t, least), "a binary, b binary")
