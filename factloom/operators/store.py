@@ -25,10 +25,11 @@ def add(store: DataFrame, new: DataFrame) -> DataFrame:
 
 def lookup(store: DataFrame, keys: DataFrame, *, strict: bool = False) -> DataFrame:
     """(key, value): the empty string for a missing key. A stored empty value is an error if strict."""
-    value = F.col("value")
+    found = keys.select("key").join(store.select("key", "value"), "key", "left")
+    value = F.coalesce("value", F.lit(""))
     if strict:
-        value = F.when(value == "", F.raise_error(F.lit("stored value is empty"))).otherwise(value)
-    return keys.select("key").join(store.select("key", value.alias("value")), "key", "left").select("key", F.coalesce("value", F.lit("")).alias("value"))
+        value = F.when(F.col("value") == "", F.raise_error(F.lit("stored value is empty")).cast("string")).otherwise(value)
+    return found.select("key", value.alias("value"))
 
 
 def has_key(store: DataFrame, keys: DataFrame) -> DataFrame:
