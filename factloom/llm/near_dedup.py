@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.anchors import mix
 from factloom.llm.components import connected
-from factloom.session import materialize
+from factloom.session import materialize, small_batches
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 10, 3
 DF_BUCKETS, CELL, LEAST_AGREE = 1 << 17, 256, 15
@@ -186,7 +186,8 @@ def _idf(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["bucket", "df"])
 
     rows = texts.mapInArrow(count, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
-    found = rows.toArrow()  # DF_BUCKETS + 1 rows at most
+    with small_batches(texts.sparkSession):
+        found = rows.toArrow()  # DF_BUCKETS + 1 rows at most
     buckets, df = found.column("bucket").to_numpy(), found.column("df").to_numpy()
     n = df[buckets == -1].sum()
     out = np.zeros(DF_BUCKETS)

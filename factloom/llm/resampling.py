@@ -4,7 +4,8 @@ Two generative models over hashed word and word-pair buckets: the target's from
 all documents. A document's log weight is the log ratio of its likelihoods, the sum over its n-grams of
 log(p_target / p_raw). Gumbel top-k draws k documents without replacement with chances by weight: to each log weight comes
 Gumbel noise made from the document's id, and the k largest keys stay. k is the number of documents whose log weight reaches a threshold; the
-threshold is the one that tells labelled good from labelled bad best.
+threshold is the one that tells labelled good from labelled bad best. The target model learns from one half of the labelled
+rows and the threshold from the other, since documents weigh more under a model that has seen them.
 
 What is bounded: the labelled rows used, at most ``MOST_LABELS`` (those with the smallest hash of their id), and the models,
 ``BUCKETS`` numbers each. All counts, weights and the k-th largest key cover every document. That key is found exactly by four
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import materialize
+from factloom.session import materialize, small_batches
 
 BUCKETS, MOST_LABELS, SEED = 1 << 14, 20_000, 1
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -56,27 +57,28 @@ def ngrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def labelled(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", most: int = MOST_LABELS) -> DataFrame:
-    """(_id, _label): at most ``most`` labelled ids, those with the smallest hash."""
+    """(_id, _label, _fold): at most ``most`` labelled ids, those with the smallest hash, in two folds."""
     one = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
-    return one.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    return one.orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(2)).cast("int"))
 
 
 def log_ratios(documents: DataFrame, *, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """log(p_target / p_raw) by bucket; documents have _label, 1 for the target's."""
+    """log(p_target / p_raw) by bucket; the target's documents have _label 1 and _fold 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, label, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = np.bincount(ngrams(text.as_py(), buckets), minlength=buckets)
                 raw += found
-                if label == 1:
+                if label == 1 and fold == 0:
                     target += found
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counted = documents.select(text_col, "_label").mapInArrow(count, "bucket long, raw long, target long")
-    totals = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
+    counted = documents.select(text_col, "_label", "_fold").mapInArrow(count, "bucket long, raw long, target long")
+    with small_batches(documents.sparkSession):
+        totals = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.ones(buckets), np.ones(buckets)
     for row in totals:
         raw[row.bucket] += row.raw
@@ -102,7 +104,7 @@ def threshold(scores: list[tuple[float, int]]) -> float:
 
 
 def weigh(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, most: int = MOST_LABELS, buckets: int = BUCKETS) -> DataFrame:
-    """Documents with log_weight and, for the labelled rows used, _label; written to the shared folder."""
+    """Documents with log_weight and, for the labelled rows used, _label and _fold; written to the shared folder."""
     known = F.broadcast(labelled(labels, id_col=id_col, most=most))  # of bounded size
     marked = documents.join(known, F.col(id_col) == F.col("_id"), "left").drop("_id")
     ratios = log_ratios(marked, text_col=text_col, buckets=buckets)
@@ -145,7 +147,9 @@ def resample(weighed: DataFrame, *, id_col: str = "doc_id", k: int | None = None
     """The k documents with the largest keys; by default k is the number of weights that reach the labelled rows' threshold."""
     keyed = weighed.withColumn("key", gumbel_key(F.col("log_weight"), F.col(id_col), seed))
     if k is None:
-        sample = [(r.log_weight, r["_label"]) for r in weighed.filter("_label IS NOT NULL").select("log_weight", "_label").collect()]  # MOST_LABELS rows, and their copies
+        rows = weighed.filter("_label IS NOT NULL").select("log_weight", "_label", "_fold").collect()  # MOST_LABELS rows, and their copies
+        held = [(r.log_weight, r["_label"]) for r in rows if r["_fold"] == 1]
+        sample = held if any(label == 1 for _, label in held) else [(r.log_weight, r["_label"]) for r in rows]
         k = weighed.filter(F.col("log_weight") >= F.lit(threshold(sample))).count()
     cut = kth_largest(keyed.select("key"), k)
     if cut is None:
