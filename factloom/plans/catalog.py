@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
-from factloom.operators import callgraph, diff, graph, guards, multimap, reporting, store
+from factloom.operators import callgraph, cfg, diff, graph, guards, multimap, reporting, store, symbolic
 from factloom.plans import transaction
 from factloom.plans.tables import ASKED, EDGES, ENTRY, FINISHED, KV, LOG, REPORTS, SNAPSHOTS, TRAITS, analysis_log, asked, doc_traits, entry_and_head, finished_log, kv_log, part_edges, parts, path_reports, snapshots, table
 
@@ -653,3 +653,57 @@ first_value(guard) OVER (PARTITION BY block ORDER BY length(guard), guard, value
 SELECT block, value, CASE WHEN n = 1 THEN 'true' WHEN n = 2 AND place = 2 THEN '!(' || first || ')' ELSE guard END AS guard FROM r""")
 def guard_simplify(spark, sf_dir: str) -> DataFrame:
     return guards.simplify(_guarded(spark, sf_dir), ["block"])
+
+
+# --- control flow, symbolic state, checks
+
+CHAIN = "c AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY conv_id)"
+
+
+def _chains(spark, sf_dir: str) -> DataFrame:
+    """A function per conversation: its turns in a row and, in every other one, an edge from the last back to turn 1."""
+    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+    line = last.filter("n > 0").select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("source")).select("conv_id", "source", (F.col("source") + 1).alias("target"))
+    back = last.filter("conv_id % 2 = 0 AND n >= 2").select("conv_id", F.col("n").alias("source"), F.lit(1).cast("long").alias("target"))
+    return line.unionByName(back).withColumn("function", F.concat(F.lit("f"), F.col("conv_id").cast("string")))
+
+
+@query(f"WITH {CHAIN} SELECT 'f' || conv_id AS function, 'loop#0' AS loop, 1 AS head, n AS size, 1 AS depth FROM c WHERE conv_id % 2 = 0 AND n >= 2")
+def split_loops(spark, sf_dir: str) -> DataFrame:
+    edges = _chains(spark, sf_dir)
+    entries = edges.select("function").distinct().withColumn("entry", F.lit(0))
+    return cfg.split_loops(edges, entries).select("function", "loop", "head", "size", "depth")
+
+
+@query(f"WITH {CHAIN} SELECT 'f' || conv_id AS function, t AS point, t AS place FROM c, range(100) AS r(t) WHERE t <= n AND n > 0")
+def topological_order(spark, sf_dir: str) -> DataFrame:
+    edges = _chains(spark, sf_dir).filter("source < target")
+    points = edges.select("function", F.col("source").alias("point")).unionByName(edges.select("function", F.col("target").alias("point"))).distinct().withColumn("line", F.lit(0))
+    return cfg.topological_order(edges, points)
+
+
+def _functions(spark, sf_dir: str) -> DataFrame:
+    """A component per part: an access b[arg], and a caller that guards its argument if the part's size is even."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("component"), "p_size")
+    edge = lambda f, s, t, kind, a, b: F.struct(F.lit(f).alias("function"), F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(kind).alias("kind"), (a if not isinstance(a, str) else F.lit(a)).alias("a"), F.lit(b).cast("string").alias("b"))
+    guard = F.when(F.col("p_size") % 2 == 0, "0 <= n & n < ubound(b)").otherwise("0 <= n")
+    rows = F.array(edge("callee", 0, 1, "assign", "z", "b[arg]"), edge("caller", 0, 1, "assume", guard, None), edge("caller", 1, 2, "call", "callee", "n"))
+    return p.select("component", F.explode(rows).alias("e")).select("component", "e.*")
+
+
+@query("SELECT p_partkey || '/' || f AS function, CAST(point AS INT) AS point, CASE WHEN f = 'callee' OR point = 0 THEN 'true' WHEN p_size % 2 = 0 THEN 'guarded' ELSE 'partly' END AS guard FROM part, (VALUES ('callee', 0), ('callee', 1), ('caller', 0), ('caller', 1), ('caller', 2)) AS v(f, point)")
+def block_guards(spark, sf_dir: str) -> DataFrame:
+    edges = _functions(spark, sf_dir).withColumn("function", F.concat_ws("/", "component", "function")).drop("component")
+    guard = F.when(F.col("guard") == "true", "true").when(F.col("guard").contains("ubound"), "guarded").otherwise("partly")
+    return symbolic.block_guards(edges).select("function", "point", guard.alias("guard"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS function, 'check' AS cls, kind, 0 AS point FROM part, (VALUES ('read_overflow'), ('read_underflow')) AS v(kind)")
+def assert_generate(spark, sf_dir: str) -> DataFrame:
+    edges = _functions(spark, sf_dir).filter("function = 'callee'").withColumn("function", F.col("component")).drop("component")
+    return symbolic.block_assertions(edges).select("function", "cls", "kind", "point")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS component, 'callee' AS function, kind, CASE WHEN kind = 'read_underflow' OR p_size % 2 = 0 THEN 'success' ELSE 'report' END AS verdict FROM part, (VALUES ('read_overflow'), ('read_underflow')) AS v(kind)")
+def check_reports(spark, sf_dir: str) -> DataFrame:
+    return symbolic.check_reports(_functions(spark, sf_dir)).select("component", "function", "kind", "verdict")
