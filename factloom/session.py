@@ -40,20 +40,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows that go to a Python worker at once. Texts can be long: with Spark's 10,000 a batch of them may not fit a worker.
-ARROW_ROWS = 512
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker, or are decoded from Parquet, at once. Texts can be long: with Spark's 10,000 and 4,096 a
+#: batch of them may not fit.
+BATCH_ROWS = 512
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
-    """Within it, no more than so many rows go to a Python worker at once."""
-    old = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(old)) if int(old) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, no more than so many rows are in a batch of Arrow or Parquet."""
+    old = {name: spark.conf.get(name) for name in _BATCHES}
+    for name, value in old.items():
+        spark.conf.set(name, str(min(rows, int(value)) if int(value) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
