@@ -24,11 +24,12 @@ BROADCAST_ROWS = 100_000
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    """(row, doc_id, text): row has all columns but the text, which goes beside it once."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
 
 
 def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _key() -> list:
@@ -46,7 +47,7 @@ def _by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    weighed = resampling.weigh(_rows(docs), labels, keep_text=False)
+    weighed = resampling.weigh(_rows(docs), labels)
     return _back(resampling.resample(weighed), docs)
 
 
@@ -61,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     told = materialize(found.select(*key, same.alias("stays")), "told")
     gone = told.filter("NOT stays").select("k1", "k2").distinct()
     again = told.filter("stays").groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
-    keyed = keyed.select("row", *key)
+    keyed = keyed.select("row", "text", *key)
 
     def few(keys: DataFrame) -> DataFrame:
         keys = materialize(keys, "keys")
@@ -81,7 +82,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleared = personal_data.redact(personal_data.find_spans(_rows(docs)))
-    out = _back(cleared.withColumn("row", F.col("row").withField("text", F.col("text"))), docs)
+    out = _back(cleared, docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
