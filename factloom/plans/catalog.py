@@ -54,13 +54,13 @@ def kv_append_concat(spark, sf_dir: str) -> DataFrame:
     return store.append(kv_log(spark, sf_dir))
 
 
-@query(f"""WITH {KV}, old AS (SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM kv WHERE seq % 40 = 0 GROUP BY key),
-new AS (SELECT key, min(seq) AS seq, arg_min(value, seq) AS value FROM kv WHERE seq % 40 <> 0 GROUP BY key)
+@query(f"""WITH {KV}, old AS (SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM kv WHERE value = 'signup' GROUP BY key),
+new AS (SELECT key, min(seq) AS seq, arg_min(value, seq) AS value FROM kv WHERE value <> 'signup' GROUP BY key)
 SELECT key, seq, value FROM old UNION ALL SELECT key, seq, value FROM new WHERE key NOT IN (SELECT key FROM old)""")
 def kv_add_if_absent(spark, sf_dir: str) -> DataFrame:
     log = kv_log(spark, sf_dir)
-    old = log.filter("seq % 40 = 0").groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
-    return store.add(old, log.filter("seq % 40 <> 0"))
+    old = log.filter("value = 'signup'").groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
+    return store.add(old, log.filter("value <> 'signup'"))
 
 
 @query(f"WITH {KV} SELECT key, seq, value FROM kv WHERE false")
@@ -100,12 +100,10 @@ def hash_lookup(spark, sf_dir: str) -> DataFrame:
     return multimap.lookup(kv_log(spark, sf_dir), asked(spark, sf_dir))
 
 
-SINGLE = "one AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value FROM events WHERE event_id % 50 = 0 GROUP BY ALL)"
-
-
-@query(f"WITH {ASKED}, {SINGLE} SELECT a.key, CASE WHEN count(o.key) = 1 THEN min(o.value) END AS value FROM asked AS a LEFT JOIN one AS o USING (key) GROUP BY a.key")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS value FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def hash_lookup_single(spark, sf_dir: str) -> DataFrame:
-    return multimap.lookup_single(kv_log(spark, sf_dir).filter("seq % 50 = 0"), asked(spark, sf_dir))
+    log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_returnflag").alias("value"))
+    return multimap.lookup_single(log, table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key")))
 
 
 @query(f"WITH {KV}, {ASKED} SELECT key, key IN (SELECT key FROM kv) AS is_member FROM asked")
@@ -298,7 +296,7 @@ FACTS = "facts AS (SELECT l_suppkey AS source, l_partkey AS target, l_orderkey A
 def merge_edges(spark, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "initializer").otherwise("function")
     facts = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_orderkey").alias("block"), kind.alias("kind"), F.col("l_linenumber").alias("point"))
-    return diff.merge_edges(facts.filter("block % 2 = 0"), facts.filter("block % 2 = 1 OR point < 3"))
+    return diff.merge_edges(facts.filter("source <= 5"), facts.filter("source > 5 OR point < 3"))
 
 
 VERSIONS = f"""{SNAPSHOTS}, versions AS (SELECT key, CASE WHEN o.key IS NULL THEN 'new' WHEN n.key IS NULL THEN 'deleted' WHEN o.text = n.text THEN 'same' ELSE 'changed' END AS state,
@@ -316,9 +314,9 @@ def incremental_versions(spark, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir)
 
 
-@query(f"WITH {VERSIONS} SELECT key, CASE WHEN state <> 'same' OR CAST(key AS BIGINT) % 13 = 0 THEN 'new' ELSE 'old' END AS section FROM versions")
+@query(f"WITH {VERSIONS} SELECT key, CASE WHEN state <> 'same' OR CAST(key AS BIGINT) IN (SELECT doc_id FROM documents WHERE lang = 'de') THEN 'new' ELSE 'old' END AS section FROM versions")
 def stage_incremental(spark, sf_dir: str) -> DataFrame:
-    again = table(spark, sf_dir, "documents").filter("doc_id % 13 = 0").select(F.col("doc_id").cast("string").alias("key"))
+    again = table(spark, sf_dir, "documents").filter("lang = 'de'").select(F.col("doc_id").cast("string").alias("key"))
     return diff.incremental_worklist(_versions(spark, sf_dir), again)
 
 
@@ -334,9 +332,9 @@ def annotation_merge(spark, sf_dir: str) -> DataFrame:
     return diff.override(old, new, ["key"])
 
 
-@query(f"WITH {VERSIONS}, facts AS (SELECT CAST(doc_id AS VARCHAR) AS key, doc_id % 4 AS version FROM documents) SELECT f.key, f.version FROM facts AS f SEMI JOIN versions AS v USING (key, version)")
+@query(f"WITH {VERSIONS}, facts AS (SELECT CAST(doc_id AS VARCHAR) AS key, n_chars % 4 AS version FROM documents) SELECT f.key, f.version FROM facts AS f SEMI JOIN versions AS v USING (key, version)")
 def current_facts(spark, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), (F.col("doc_id") % 4).alias("version"))
+    facts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), (F.col("n_chars") % 4).alias("version"))
     return diff.current_only(facts, _versions(spark, sf_dir))
 
 
@@ -386,16 +384,16 @@ def loop_body(spark, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {ENTRY}, r AS (SELECT node FROM entry UNION SELECT e.dst FROM r JOIN edges AS e ON e.src = r.node),
-b AS (SELECT p_partkey AS node FROM part WHERE p_size % 5 = 0 UNION SELECT e.src FROM b JOIN edges AS e ON e.dst = b.node) SELECT node FROM r WHERE node IN (SELECT node FROM b)""")
+b AS (SELECT dst AS node FROM edges WHERE dst NOT IN (SELECT src FROM edges) UNION SELECT e.src FROM b JOIN edges AS e ON e.dst = b.node) SELECT node FROM r WHERE node IN (SELECT node FROM b)""")
 def trim_unreachable(spark, sf_dir: str) -> DataFrame:
     edges, entry, _ = _edges_entry_head(spark, sf_dir)
-    return graph.trim(edges, entry, table(spark, sf_dir, "part").filter("p_size % 5 = 0").select(F.col("p_partkey").alias("node")))
+    return graph.trim(edges, entry, edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")), "node", "left_anti"))
 
 
-@query(f"WITH RECURSIVE {EDGES}, up AS (SELECT src, dst FROM edges WHERE src < dst), l AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_size <= 10 UNION SELECT u.dst, l.level + 1 FROM l JOIN up AS u ON u.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
+@query(f"WITH RECURSIVE {EDGES}, up AS (SELECT src, dst FROM edges WHERE src < dst), l AS (SELECT DISTINCT src AS node, 0 AS level FROM up WHERE src NOT IN (SELECT dst FROM up) UNION SELECT u.dst, l.level + 1 FROM l JOIN up AS u ON u.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
 def topo_level(spark, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("node"))
-    return graph.levels(part_edges(spark, sf_dir).filter("src < dst"), seeds)
+    up = part_edges(spark, sf_dir).filter("src < dst")
+    return graph.levels(up, up.select(F.col("src").alias("node")).distinct().join(up.select(F.col("dst").alias("node")), "node", "left_anti"))
 
 
 def _stage_sql() -> str:
@@ -471,8 +469,8 @@ def indirect_targets_arity(spark, sf_dir: str) -> DataFrame:
     return callgraph.indirect_targets(sites, escapes, functions)
 
 
-VIRTUAL = """m AS (SELECT 'N' || c_nationkey AS class, c_mktsegment AS method, 'N' || c_nationkey || '::' || c_mktsegment AS function FROM customer WHERE c_custkey % 3 = 0 GROUP BY ALL
-UNION ALL SELECT 'R' || n_regionkey, c_mktsegment, 'R' || n_regionkey || '::' || c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0 GROUP BY ALL),
+VIRTUAL = """m AS (SELECT 'N' || c_nationkey AS class, c_mktsegment AS method, 'N' || c_nationkey || '::' || c_mktsegment AS function FROM customer WHERE c_acctbal > 9000 GROUP BY ALL
+UNION ALL SELECT 'R' || n_regionkey, c_mktsegment, 'R' || n_regionkey || '::' || c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0 GROUP BY ALL),
 calls AS (SELECT DISTINCT 'R' || n_regionkey AS class, c_mktsegment AS method FROM customer JOIN nation ON n_nationkey = c_nationkey),
 sub AS (SELECT 'R' || n_regionkey AS class, 'N' || n_nationkey AS sub, 'R' || n_regionkey AS base FROM nation UNION ALL SELECT 'R' || r_regionkey, 'R' || r_regionkey, NULL FROM region)"""
 
@@ -484,7 +482,7 @@ def virtual_callees(spark, sf_dir: str) -> DataFrame:
     n, r = F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))
     both = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     own = lambda c, cond: both.filter(cond).select(c.alias("class"), F.col("c_mktsegment").alias("method"), F.concat(c, F.lit("::"), "c_mktsegment").alias("function")).distinct()
-    methods = own(n, "c_custkey % 3 = 0").unionByName(own(r, "c_custkey % 2 = 0"))
+    methods = own(n, "c_acctbal > 9000").unionByName(own(r, "c_acctbal < 0"))
     calls = both.select(r.alias("class"), F.col("c_mktsegment").alias("method")).distinct()
     return callgraph.virtual_targets(nation.select(n.alias("class"), r.alias("base")), methods, calls)
 
@@ -494,31 +492,29 @@ def callers_to_reanalyze(spark, sf_dir: str) -> DataFrame:
     return callgraph.callers_of(_calls(spark, sf_dir), table(spark, sf_dir, "part").filter("p_size > 45").select(F.col("p_partkey").alias("node")))
 
 
-ESCAPE = f"{EDGES}, c AS (SELECT src, dst FROM edges WHERE src IN (SELECT p_partkey FROM part WHERE p_size % 10 = 0) UNION SELECT c.src, e.dst FROM c JOIN edges AS e ON e.src = c.dst)"
+ESCAPE = f"{EDGES}, c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges AS e ON e.src = c.dst)"
 
 
 @query(f"WITH RECURSIVE {ESCAPE} SELECT src, dst FROM c")
 def escape_closure(spark, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "part").filter("p_size % 10 = 0").select(F.col("p_partkey").alias("node"))
-    return graph.closure(part_edges(spark, sf_dir), seeds).select("src", "dst")
+    return graph.closure(part_edges(spark, sf_dir)).select("src", "dst")
 
 
-@query(f"WITH RECURSIVE {EDGES}, c AS (SELECT src, dst, 1 AS hops FROM edges WHERE src % 10 = 0 UNION SELECT c.src, e.dst, c.hops + 1 FROM c JOIN edges AS e ON e.src = c.dst WHERE c.hops < 3) SELECT src, dst, min(hops) AS hops FROM c GROUP BY src, dst")
+@query(f"WITH RECURSIVE {EDGES}, c AS (SELECT src, dst, 1 AS hops FROM edges UNION SELECT c.src, e.dst, c.hops + 1 FROM c JOIN edges AS e ON e.src = c.dst WHERE c.hops < 3) SELECT src, dst, min(hops) AS hops FROM c GROUP BY src, dst")
 def escape_bounded(spark, sf_dir: str) -> DataFrame:
-    seeds = parts(spark, sf_dir).filter("node % 10 = 0")
-    return graph.bounded_closure(part_edges(spark, sf_dir), seeds, depth=3)[0]
+    return graph.bounded_closure(part_edges(spark, sf_dir), parts(spark, sf_dir), depth=3)[0]
 
 
 @query()
 def escape_closure_context(spark, sf_dir: str) -> DataFrame:
     move = F.when(F.expr("(src + dst) % 3 = 0"), "call").when(F.expr("(src + dst) % 3 = 1"), "return").otherwise("stay")
     edges = part_edges(spark, sf_dir).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.expr("CAST((src + dst) % 5 AS STRING)").alias("site"), move.alias("move"))
-    return graph.context_closure(edges, parts(spark, sf_dir).filter("node % 50 = 0"), max_context=3)
+    return graph.context_closure(edges, parts(spark, sf_dir), max_context=3)
 
 
-@query(f"WITH RECURSIVE {CALLS}, m AS (SELECT p_partkey AS function, p_brand AS lval FROM part WHERE p_size % 4 = 0 UNION SELECT c.caller, m.lval FROM m JOIN calls AS c ON c.callee = m.function) SELECT function, lval FROM m")
+@query(f"WITH RECURSIVE {CALLS}, m AS (SELECT p_partkey AS function, p_brand AS lval FROM part UNION SELECT c.caller, m.lval FROM m JOIN calls AS c ON c.callee = m.function) SELECT function, lval FROM m")
 def modset_fixpoint(spark, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").filter("p_size % 4 = 0").select(F.col("p_partkey").alias("function"), F.col("p_brand").alias("lval"))
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.col("p_brand").alias("lval"))
     return callgraph.modsets(_calls(spark, sf_dir), own)
 
 
@@ -661,14 +657,14 @@ CHAIN = "c AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY conv_i
 
 
 def _chains(spark, sf_dir: str) -> DataFrame:
-    """A function per conversation: its turns in a row and, in every other one, an edge from the last back to turn 1."""
+    """A function per conversation: its turns in a row and an edge from the last back to turn 1."""
     last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
     line = last.filter("n > 0").select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("source")).select("conv_id", "source", (F.col("source") + 1).alias("target"))
-    back = last.filter("conv_id % 2 = 0 AND n >= 2").select("conv_id", F.col("n").alias("source"), F.lit(1).cast("long").alias("target"))
+    back = last.filter("n >= 2").select("conv_id", F.col("n").alias("source"), F.lit(1).cast("long").alias("target"))
     return line.unionByName(back).withColumn("function", F.concat(F.lit("f"), F.col("conv_id").cast("string")))
 
 
-@query(f"WITH {CHAIN} SELECT 'f' || conv_id AS function, 'loop#0' AS loop, 1 AS head, n AS size, 1 AS depth FROM c WHERE conv_id % 2 = 0 AND n >= 2")
+@query(f"WITH {CHAIN} SELECT 'f' || conv_id AS function, 'loop#0' AS loop, 1 AS head, n AS size, 1 AS depth FROM c WHERE n >= 2")
 def split_loops(spark, sf_dir: str) -> DataFrame:
     edges = _chains(spark, sf_dir)
     entries = edges.select("function").distinct().withColumn("entry", F.lit(0))

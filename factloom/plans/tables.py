@@ -55,15 +55,15 @@ head AS (SELECT min(dst) AS node FROM edges WHERE src = (SELECT node FROM entry)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs over documents: the first lacks some, the second has changed texts."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", "doc_id")
-    old = docs.filter("doc_id % 10 <> 0").select("key", "text", (F.col("doc_id") % 3).alias("version"))
-    new = docs.filter("doc_id % 11 <> 0").select("key", F.when(F.expr("doc_id % 7 = 0"), F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    """Two runs over documents: each lacks some that the other has, and the second has changed texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", "lang", "source", "n_chars")
+    old = docs.filter("lang <> 'es'").select("key", "text", (F.col("n_chars") % 3).alias("version"))
+    new = docs.filter("source <> 'src1'").select("key", F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     return old, new
 
 
-SNAPSHOTS = """old AS (SELECT CAST(doc_id AS VARCHAR) AS key, text, doc_id % 3 AS version FROM documents WHERE doc_id % 10 <> 0),
-new AS (SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"""
+SNAPSHOTS = """old AS (SELECT CAST(doc_id AS VARCHAR) AS key, text, n_chars % 3 AS version FROM documents WHERE lang <> 'es'),
+new AS (SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text FROM documents WHERE source <> 'src1')"""
 
 
 def analysis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
