@@ -305,7 +305,8 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     members = drawn.select("id", "t1", "t2", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), "t1", "t2")
-    heads = members.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("size"))
+    # Written first, so that the join with a class of very many documents can be split.
+    heads = materialize(members.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("size")), "heads")
     return members.join(heads, "root").select(F.col("id").alias(id_col), "t1", "t2", "first", "size")
 
 
