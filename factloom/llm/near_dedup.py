@@ -1,8 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five words (a shorter text has one shingle of all its words). Its weight is its count times its inverse
-document frequency, the mean of its words' ln((N + 1) / (df + 1)) + 1, where df counts the documents with a word of the
-same one of ``DF_BUCKETS`` hash buckets. Similarity is weighted Jaccard, the sum of minima over the sum of maxima.
+document frequency ln((N + 1) / (df + 1)) + 1, where df counts the documents with a shingle of the same one of
+``DF_BUCKETS`` hash buckets: rare shingles weigh alike, and boilerplate that many documents share weighs less. Similarity
+is weighted Jaccard, the sum of minima over the sum of maxima.
 
 Improved consistent weighted sampling (Ioffe) draws ``BANDS * ROWS`` samples of a text: the shingle k with the least
 ln a = ln c - r (t - beta) - r, where r, c ~ Gamma(2, 1) and beta ~ U(0, 1) depend on k and the sample's number, and
@@ -61,23 +62,20 @@ def shingles(texts: list[np.ndarray], idf: np.ndarray, words: int = WORDS) -> tu
     """(text, shingle hash, count, idf) of every text's different shingles, in order of text and hash."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     flat = np.concatenate([*texts, np.zeros(words - 1, np.uint64)])
-    rare = idf[(flat & np.uint64(len(idf) - 1)).astype(np.int64)]
     ends = np.cumsum(lengths)
     counts = np.where(lengths >= words, lengths - words + 1, (lengths > 0).astype(np.int64))
     text = np.repeat(np.arange(len(texts)), counts)
     at = np.repeat(ends - lengths, counts) + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     size = np.minimum(lengths, words)[text]
-    h, weight = np.zeros(len(at), np.uint64), np.zeros(len(at), np.float64)
+    h = np.zeros(len(at), np.uint64)
     for i in range(words):
-        inside = i < size
-        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, flat[at + i] | np.uint64(1), np.uint64(0))
-        weight += np.where(inside, rare[at + i], 0)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(i < size, flat[at + i] | np.uint64(1), np.uint64(0))
     h = mix(h)
     order = np.lexsort((h, text))
-    text, h, weight = text[order], h[order], (weight / np.maximum(size, 1))[order]
+    text, h = text[order], h[order]
     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])[: len(h)])
     count = np.diff(np.concatenate([new, [len(h)]]))
-    return text[new], h[new], count, weight[new]
+    return text[new], h[new], count, idf[(h[new] & np.uint64(len(idf) - 1)).astype(np.int64)].astype(np.float64)
 
 
 @functools.cache
@@ -180,8 +178,9 @@ def _idf(texts: DataFrame) -> np.ndarray:
         df, n = np.zeros(DF_BUCKETS, dtype=np.int64), 0
         for part, hashed in _batched(batches):
             n += part.num_rows
-            buckets = np.concatenate([np.unique(x & np.uint64(DF_BUCKETS - 1)) for x in hashed])
-            df += np.bincount(buckets.astype(np.int64), minlength=DF_BUCKETS)
+            text, h, _, _ = shingles(hashed, np.ones(1))
+            inside = np.unique(text * DF_BUCKETS + (h & np.uint64(DF_BUCKETS - 1)).astype(np.int64)) % DF_BUCKETS  # once a text
+            df += np.bincount(inside, minlength=DF_BUCKETS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["bucket", "df"])
 
