@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from factloom.session import materialize
 
 SEQ_LEN, UNIT, END_ID = 4096, 16, 2
-#: Entries in the memory of encoded chunks, about 150 MB; beyond it the memory starts anew.
-MEMORY = 800_000
+#: Entries in the memory of encoded chunks, about 100 MB; beyond it the memory starts anew.
+MEMORY = 500_000
 #: Outside this range characters can compose, or lower case depends on context.
 COMPOSES = re.compile("[^\x00-\u012f\u0131-\u017f]")
 SALT_ROWS, LEAST_SALTS = 10_000, 64
