@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
-from factloom.operators import callgraph, cfg, diff, graph, guards, multimap, reporting, store, symbolic
+from factloom.operators import callgraph, cfg, diff, escape, graph, guards, multimap, reporting, store, symbolic
 from factloom.plans import transaction
 from factloom.plans.tables import ASKED, EDGES, ENTRY, FINISHED, KV, LOG, REPORTS, SNAPSHOTS, TRAITS, analysis_log, asked, doc_traits, entry_and_head, finished_log, kv_log, part_edges, parts, path_reports, snapshots, table
 
@@ -539,6 +539,64 @@ def invariant_join(spark, sf_dir: str) -> DataFrame:
     return callgraph.invariants_at_writes(writes, invariants)
 
 
+CHAINS = "ch AS (SELECT page_id, 'v' || (page_id % 7) AS base, string_split(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/$', ''), '/') AS st FROM pages)"
+
+
+def _places(spark, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/$", "")
+    chain = F.replace(F.replace(path, F.lit("."), F.lit("_")), F.lit("/"), F.lit("."))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("v"), (F.col("page_id") % 7).cast("string")).alias("base"), chain.alias("chain"))
+
+
+@query(f"""WITH {CHAINS}, m AS (SELECT page_id, replace(array_to_string(list_slice(st, len(st) - i + 1, len(st)), '/'), '.', '_') AS p, i - 1 AS ordinal FROM ch, range(1, 20) AS r(i) WHERE i <= len(st))
+SELECT page_id, replace(p, '/', '.') AS place, CAST(ordinal AS INT) AS ordinal FROM m UNION ALL SELECT page_id, base || '.' || replace(replace(array_to_string(st, '/'), '.', '_'), '/', '.'), CAST(len(st) AS INT) FROM ch""")
+def trace_matches(spark, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).select("page_id", F.explode(escape.matches(F.col("base"), F.col("chain"))).alias("m")).select("page_id", "m.place", "m.ordinal")
+
+
+@query("""SELECT 'a' || p_partkey || '.' || r_name || '.' || n_name AS source, 'b' || p_partkey || '.' || r_name || '.' || n_name AS target, 'int' AS type FROM part, region JOIN nation ON n_regionkey = r_regionkey""")
+def struct_copies(spark, sf_dir: str) -> DataFrame:
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("R"), F.col("r_regionkey").cast("string"))
+    outer = region.select(F.lit("world").alias("type"), F.col("r_name").alias("field"), name.alias("field_type"))
+    inner = nation.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("type"), F.col("n_name").alias("field"), F.lit("int").alias("field_type"))
+    key = F.col("p_partkey").cast("string")
+    copies = table(spark, sf_dir, "part").select(F.concat(F.lit("a"), key).alias("source"), F.concat(F.lit("b"), key).alias("target"), F.lit("world").alias("type"))
+    return escape.expand_struct(copies, outer.unionByName(inner))
+
+
+FLOW_IN = """e AS (SELECT l_orderkey AS site, l_returnflag AS flag, 't' || l_partkey AS target, 'v' || l_suppkey AS value, 'f' || l_suppkey AS callee, l_linenumber AS position FROM lineitem)"""
+
+
+@query(f"""WITH {FLOW_IN} SELECT DISTINCT value AS source, target, site, 'stay' AS move FROM e WHERE flag = 'A'
+UNION ALL SELECT DISTINCT value, callee || ':' || position, site, 'call' FROM e WHERE flag <> 'A' UNION ALL SELECT DISTINCT callee || ':return', target, site, 'return' FROM e WHERE flag <> 'A'""")
+def escape_flows(spark, sf_dir: str) -> DataFrame:
+    put = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    kind = F.when(F.col("l_returnflag") == "A", "assign").otherwise("call")
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("site"), kind.alias("kind"), put("t", "l_partkey").alias("target"), put("v", "l_suppkey").alias("value"), put("f", "l_suppkey").alias("callee"), F.col("l_linenumber").alias("position"))
+    parameters = edges.select("callee", "position").distinct().withColumn("name", F.concat_ws(":", "callee", F.col("position").cast("string")))
+    return escape.flows(edges, parameters)
+
+
+@query("""WITH w AS (SELECT 'v' || l_suppkey AS place, l_orderkey AS site, l_linenumber % 2 AS version FROM lineitem), cur AS (SELECT o_orderkey AS site, o_custkey % 2 AS version FROM orders),
+r AS (SELECT s_suppkey AS read, 'v' || s_suppkey AS place FROM supplier) SELECT DISTINCT r.read, w.place, w.site FROM r JOIN w USING (place) SEMI JOIN cur ON cur.site = w.site AND cur.version = w.version""")
+def heap_write_join(spark, sf_dir: str) -> DataFrame:
+    text = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    writes = table(spark, sf_dir, "lineitem").select(text(F.col("l_suppkey")).alias("place"), F.col("l_orderkey").alias("site"), (F.col("l_linenumber") % 2).cast("long").alias("version"))
+    versions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"), (F.col("o_custkey") % 2).alias("version"))
+    reads = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("read"), text(F.col("s_suppkey")).alias("base"), F.lit("").alias("chain"))
+    return escape.heap_writes(reads, writes, versions)
+
+
+@query(f"""WITH {CALLS} SELECT DISTINCT node FROM (SELECT caller AS node FROM calls WHERE callee IN (SELECT p_partkey FROM part WHERE p_size > 45)
+UNION ALL SELECT l_partkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0))""")
+def mark_reanalyzed(spark, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "part").filter("p_size > 45").select(F.col("p_partkey").alias("node"))
+    invariants = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("place"))
+    writes = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("place"), F.col("l_partkey").alias("node"))
+    return escape.to_reanalyze(new, _calls(spark, sf_dir), invariants, writes)
+
+
 # --- reporting
 
 

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
-from factloom.operators import callgraph, diff, graph, guards, multimap, reporting, store
+from factloom.operators import callgraph, diff, escape, graph, guards, multimap, reporting, store
 from factloom.plans import transaction as T
 from factloom.sources import sinks, text
 
@@ -179,3 +179,20 @@ def test_job_queue(spark, tmp_path):
     seen = []
     watch_jobs(spark, str(tmp_path / "in"), lambda df, n: seen.extend(r.job for r in df.collect()), str(tmp_path / "state")).awaitTermination()
     assert sorted(seen) == ["a", "b"]
+
+
+def test_places_and_struct_copies(spark):
+    out = spark.range(1).select(escape.matches(F.lit("v"), F.lit("a.b")).alias("m")).first()["m"]
+    assert [tuple(x) for x in out] == [("b", 0), ("a.b", 1), ("v.a.b", 2)]
+    assert [tuple(x) for x in spark.range(1).select(escape.matches(F.lit("v"), F.lit("")).alias("m")).first()["m"]] == [("v", 0)]
+    fields = spark.createDataFrame([("S", "x", "int"), ("S", "t", "T"), ("T", "y", "int")], "type string, field string, field_type string")
+    copies = spark.createDataFrame([("a", "b", "S"), ("i", "j", "int")], "source string, target string, type string")
+    assert got(escape.expand_struct(copies, fields)) == [("a.t.y", "b.t.y", "int"), ("a.x", "b.x", "int"), ("i", "j", "int")]
+
+
+def test_flows_and_heap_writes(spark):
+    edges = spark.createDataFrame([("1", "assign", "p", "q", None, None), ("2", "call", "r", "q", "f", 0)], "site string, kind string, target string, value string, callee string, position int")
+    assert got(escape.flows(edges, spark.createDataFrame([("f", 0, "f:x")], "callee string, position int, name string"))) == [("f:return", "r", "2", "return"), ("q", "f:x", "2", "call"), ("q", "p", "1", "stay")]
+    writes = spark.createDataFrame([("f", "1", 0), ("v.f", "2", 0), ("v.f", "3", 0)], "place string, site string, version long")
+    versions = spark.createDataFrame([("1", 0), ("2", 0), ("3", 1)], "site string, version long")
+    assert got(escape.heap_writes(spark.createDataFrame([("r", "v", "f")], "read string, base string, chain string"), writes, versions)) == [("r", "f", "1"), ("r", "v.f", "2")]
