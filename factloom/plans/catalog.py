@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
-from factloom.operators import callgraph, cfg, diff, escape, graph, guards, multimap, reporting, store, symbolic
+from factloom.operators import callgraph, cfg, diff, escape, graph, guards, library, multimap, reporting, store, symbolic
 from factloom.plans import transaction
 from factloom.plans.tables import ASKED, EDGES, ENTRY, FINISHED, KV, LOG, REPORTS, SNAPSHOTS, TRAITS, analysis_log, asked, doc_traits, entry_and_head, finished_log, kv_log, part_edges, parts, path_reports, snapshots, table
 
@@ -597,6 +597,35 @@ def mark_reanalyzed(spark, sf_dir: str) -> DataFrame:
     return escape.to_reanalyze(new, _calls(spark, sf_dir), invariants, writes)
 
 
+def _library_calls(spark, sf_dir: str) -> DataFrame:
+    """A call for each line item: an allocation, a copy or a fill by its flag."""
+    flag = F.col("l_returnflag")
+    function = F.when(flag == "A", "a.c:calloc(unsigned, unsigned)").when(flag == "N", "memcpy").otherwise("memset(void*, int, unsigned)")
+    n = lambda c: F.col(c).cast("string")
+    args = F.when(flag == "A", F.array(n("l_linenumber"), n("l_suppkey"))).when(flag == "N", F.array(F.lit("p"), F.lit("q"), n("l_suppkey"))).otherwise(F.array(F.lit("p"), (F.col("l_linenumber") - 1).cast("string"), n("l_suppkey")))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("site"), function.alias("function"), args.alias("args"))
+
+
+@query("SELECT l_orderkey AS site, 'calloc' AS name, l_linenumber || ' * ' || l_suppkey AS size FROM lineitem WHERE l_returnflag = 'A'")
+def library_allocations(spark, sf_dir: str) -> DataFrame:
+    return library.allocations(_library_calls(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS site, 'p' AS target, 'q' AS source, CAST(l_suppkey AS VARCHAR) AS length FROM lineitem WHERE l_returnflag = 'N'")
+def library_copies(spark, sf_dir: str) -> DataFrame:
+    return library.copies(_library_calls(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS site, 'p' AS target, CAST(l_suppkey AS VARCHAR) AS length FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1")
+def library_zeroed(spark, sf_dir: str) -> DataFrame:
+    return library.zeroed(_library_calls(spark, sf_dir))
+
+
+@query("SELECT CASE l_returnflag WHEN 'A' THEN 'drop' ELSE 'follow' END AS treat, count(*) AS n FROM lineitem GROUP BY 1")
+def library_followed(spark, sf_dir: str) -> DataFrame:
+    return library.followed(_library_calls(spark, sf_dir), (("calloc", "drop"),)).groupBy("treat").agg(F.count("*").alias("n"))
+
+
 # --- reporting
 
 
