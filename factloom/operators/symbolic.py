@@ -154,6 +154,56 @@ def check(blocks: dict[str, Block], calls: dict[str, list[tuple[str, int, str]]]
     return "success", [function]
 
 
+def initial(name: str) -> Lin:
+    """A variable's value when its loop was entered."""
+    return ir.var(f"{name}__0")
+
+
+def loop_invariants(body: Block, solver: LinearSolver | None = None) -> list[tuple[str, Bit]]:
+    """(template, formula) that hold whenever a loop's body starts over, by guess and check.
+
+    monotonic: a variable that never moves one way stays on its side of its first value. linear: two variables with fixed
+    steps move in proportion. tested: a comparison that guards the whole body, weakened by the step of what it tests. A
+    guess holds if it does on entry, where variables have their first values, and if an iteration keeps it, given
+    those accepted before.
+    """
+    solver = solver or LinearSolver()
+    if not body.order or body.order[-1] not in body.guard:
+        return []
+    end = body.order[-1]
+    after = {n: body.state[end][n] for n in sorted(body.state[end])}
+    steps: dict[str, list[int]] = {}
+    for n, values in after.items():
+        moves = [ir.sub(v, ir.var(n)) for v, _ in values]
+        if all(not m.terms for m in moves):
+            steps[n] = [m.const for m in moves]
+    guesses: list[tuple[str, Bit]] = []
+    for n, by in steps.items():
+        if min(by) >= 0 and any(by):
+            guesses.append(("monotonic", ir.compare("<=", initial(n), ir.var(n))))
+        if max(by) <= 0 and any(by):
+            guesses.append(("monotonic", ir.compare("<=", ir.var(n), initial(n))))
+    fixed = [(n, by[0]) for n, by in steps.items() if len(set(by)) == 1 and by[0]]
+    for i, (x, dx) in enumerate(fixed):
+        for y, dy in fixed[i + 1 :]:
+            guesses.append(("linear", ir.compare("==", ir.scale(ir.sub(ir.var(x), initial(x)), dy), ir.scale(ir.sub(ir.var(y), initial(y)), dx))))
+    parts = lambda b: set(b.args) if b.kind == "and" else {b}
+    paths = body.guard[end].args if body.guard[end].kind == "or" else (body.guard[end],)
+    for g in sorted(set.intersection(*map(parts, paths)), key=ir.show):  # what every path has tested
+        if g.kind == "le":
+            slack = max((abs(c * s) for a, c in g.args[0].terms if a.kind == "var" for s in steps.get(a.args[0], [0])), default=0)
+            if slack:
+                guesses.append(("tested", ir.compare("<=", g.args[0], ir.num(slack))))
+    found: list[tuple[str, Bit]] = []
+    for template, guess in guesses:
+        on_entry = ir.substitute(guess, lambda a: ir.var(a.args[0].removesuffix("__0")) if a.kind == "var" and str(a.args[0]).endswith("__0") else None)
+        entered = on_entry == ir.TRUE or (template == "tested" and solver.implied(body.guard[end], on_entry))
+        known = ir.conjoin(body.guard[end], guess, *(b for _, b in found))
+        if entered and solver.implied(known, body.translate_bit(end, guess)):
+            found.append((template, guess))
+    return found
+
+
 # --- over tables
 
 
@@ -207,3 +257,13 @@ def check_reports(edges: DataFrame, component: str = "component", depth: int = 3
         return pd.DataFrame(rows, columns=["component", "function", "kind", "point", "verdict", "path"])
 
     return edges.groupBy(component).applyInPandas(solve, "component string, function string, kind string, point int, verdict string, path string")
+
+
+def inferred_invariants(edges: DataFrame) -> DataFrame:
+    """(function, template, bit) of loop bodies; edges as in EDGES, one body per function, from point 0."""
+
+    def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], t, str(b)) for t, b in loop_invariants(Block(_edges(frame)))]
+        return pd.DataFrame(rows, columns=["function", "template", "bit"])
+
+    return edges.groupBy("function").applyInPandas(solve, "function string, template string, bit string")

@@ -790,3 +790,13 @@ def assert_generate(spark, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(p_partkey AS VARCHAR) AS component, 'callee' AS function, kind, CASE WHEN kind = 'read_underflow' OR p_size % 2 = 0 THEN 'success' ELSE 'report' END AS verdict FROM part, (VALUES ('read_overflow'), ('read_underflow')) AS v(kind)")
 def check_reports(spark, sf_dir: str) -> DataFrame:
     return symbolic.check_reports(_functions(spark, sf_dir)).select("component", "function", "kind", "verdict")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS function, template, n FROM part, (VALUES ('linear', 1), ('monotonic', 2), ('tested', 1)) AS v(template, n)")
+def loop_invariants(spark, sf_dir: str) -> DataFrame:
+    """A loop per part: i goes up by one and j by the part's size while i < n."""
+    edge = lambda s, t, kind, a, b: F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(kind).alias("kind"), F.lit(a).alias("a"), b.alias("b"))
+    step = F.concat(F.lit("j + "), F.col("p_size").cast("string"))
+    body = F.array(edge(0, 1, "assume", "i < n", F.lit(None).cast("string")), edge(1, 2, "assign", "i", F.lit("i + 1")), edge(2, 3, "assign", "j", step))
+    edges = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("function"), F.explode(body).alias("e")).select("function", "e.*")
+    return symbolic.inferred_invariants(edges).groupBy("function", "template").agg(F.count("*").cast("int").alias("n"))

@@ -114,3 +114,12 @@ def test_values_collapse_when_there_are_too_many(n):
     for i in range(n):
         edges += [(3 * i, 3 * i + 1, "assume", f"c{i} == 0", None), (3 * i, 3 * i + 2, "assume", f"c{i} != 0", None), (3 * i + 1, 3 * i + 3, "assign", "x", f"x + {3**i}"), (3 * i + 2, 3 * i + 3, "skip", None, None)]
     assert len(symbolic.Block(edges).values(3 * n, "x")) <= symbolic.MOST_VALUES
+
+
+def test_invariants():
+    body = symbolic.Block([(0, 1, "assume", "i < n", None), (1, 2, "assign", "i", "i + 1"), (2, 3, "assign", "j", "j + 3"), (3, 4, "assume", "c > 0", None), (3, 5, "assume", "c <= 0", None), (4, 6, "assign", "k", "k - 1"), (5, 6, "skip", None, None)])
+    found = symbolic.loop_invariants(body)
+    assert [t for t, _ in found] == ["monotonic", "monotonic", "monotonic", "linear", "tested"]
+    bits = [b for _, b in found]
+    assert ir.parse("k <= k__0") in bits and ir.parse("3 * (i - i__0) == j - j__0") in bits and ir.parse("i <= n") in bits
+    assert symbolic.loop_invariants(symbolic.Block([(0, 1, "assign", "x", "x * x")])) == []
