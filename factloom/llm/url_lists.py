@@ -80,7 +80,7 @@ def _number(text: Column) -> Column:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")).alias("fetched_on"))
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.pmod(F.col("page_id"), F.lit(365)) * 37, F.lit(365)).cast("int")).alias("fetched_on"))
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ ORACLE = f"""
 WITH c AS (
   SELECT page_id, coalesce(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
     coalesce(regexp_extract(url, '{SEGMENT}', 1), '') AS segment,
-    CAST(DATE '2024-01-01' + CAST(((page_id * 37) % 365 + 365) % 365 AS INT) AS DATE) AS fetched_on
+    CAST(DATE '2024-01-01' + CAST((((page_id % 365) + 365) % 365 * 37) % 365 AS INT) AS DATE) AS fetched_on
   FROM pages),
 names AS (
   SELECT DISTINCT key FROM (
