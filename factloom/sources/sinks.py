@@ -23,3 +23,25 @@ def report_xml(reports: DataFrame) -> DataFrame:
 def store_reports(reports: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per kind of report."""
     report_xml(reports).write.mode(mode).partitionBy("kind").parquet(path)
+
+
+def index_pages(reports: DataFrame) -> DataFrame:
+    """(directory, html): a page per directory with its entries, how many reports each holds, and links; reports (file, name)."""
+    from factloom.operators.reporting import ancestors
+
+    above = reports.select(F.explode(ancestors(F.col("file"), itself=True)).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    parent = F.regexp_replace("node", "/?[^/]*$", "")
+    item = F.concat(F.lit('<li><a href="'), xml_escape(F.col("node")), F.lit('">'), xml_escape(F.regexp_replace("node", "^.*/", "")), F.lit("</a> "), F.col("n").cast("string"), F.lit("</li>"))
+    entries = above.select(parent.alias("directory"), F.struct("node", item.alias("item")).alias("e"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["item"]), "")
+    return entries.groupBy("directory").agg(F.concat(F.lit("<ul>"), listed, F.lit("</ul>")).alias("html"))
+
+
+def source_pages(points: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, file, html): the lines of each file that a report's path visits, the visited ones marked.
+
+    points (name, file, line), files (file, text).
+    """
+    marked = points.groupBy("name", "file").agg(F.collect_set(F.col("line").cast("int")).alias("marks"))
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.when(F.array_contains("marks", i + 1), F.concat(F.lit("<b>"), xml_escape(x), F.lit("</b>"))).otherwise(xml_escape(x)))
+    return marked.join(files, "file").select("name", "file", F.concat(F.lit("<pre>"), F.array_join(lines, "\n"), F.lit("</pre>")).alias("html"))

@@ -196,3 +196,11 @@ def test_flows_and_heap_writes(spark):
     writes = spark.createDataFrame([("f", "1", 0), ("v.f", "2", 0), ("v.f", "3", 0)], "place string, site string, version long")
     versions = spark.createDataFrame([("1", 0), ("2", 0), ("3", 1)], "site string, version long")
     assert got(escape.heap_writes(spark.createDataFrame([("r", "v", "f")], "read string, base string, chain string"), writes, versions)) == [("r", "f", "1"), ("r", "v.f", "2")]
+
+
+def test_pages(spark):
+    reports = spark.createDataFrame([("d/a.c", "r1"), ("d/a.c", "r2"), ("d/e/b.c", "r3")], "file string, name string")
+    pages = dict(got(sinks.index_pages(reports)))
+    assert pages["d"] == '<ul><li><a href="d/a.c">a.c</a> 2</li><li><a href="d/e">e</a> 1</li></ul>' and pages[""] == '<ul><li><a href="d">d</a> 3</li></ul>'
+    out = sinks.source_pages(spark.createDataFrame([("r1", "a.c", 2)], "name string, file string, line int"), spark.createDataFrame([("a.c", "x\ny < z\nw")], "file string, text string"))
+    assert out.first()["html"] == "<pre>x\n<b>y &lt; z</b>\nw</pre>"
