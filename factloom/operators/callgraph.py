@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.fixpoint import iterate
+from factloom.session import once
 
 
 def direct_calls(calls: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def virtual_targets(bases: DataFrame, methods: DataFrame, calls: DataFrame) -> D
     bases (class, base), methods (class, method, function; function null if pure), calls (class, method). Objects may be of
     the class or anything below it; each runs the nearest implementation at or above its own class.
     """
+    bases, methods = once(bases, "bases"), once(methods, "methods")
     up = bases.select(F.col("class").alias("at"), F.col("base").alias("to"))
     classes = bases.select("class").unionByName(bases.select(F.col("base").alias("class"))).unionByName(methods.select("class")).unionByName(calls.select("class")).distinct()
     below = iterate(calls.select(F.col("class").alias("top"), "method", F.col("class").alias("class")), lambda new: new.join(bases.select(F.col("base").alias("class"), F.col("class").alias("sub")), "class").select("top", "method", F.col("sub").alias("class")))
@@ -51,19 +53,19 @@ def callers_of(calls: DataFrame, changed: DataFrame) -> DataFrame:
 
 def modsets(calls: DataFrame, own: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     """(function, lval): what a function modifies itself or through its callees, to the fixpoint."""
-    over = calls.select(F.col("callee").alias("function"), "caller").distinct()
+    over = once(calls.select(F.col("callee").alias("function"), "caller").distinct(), "calls")
     return iterate(own.select("function", "lval"), lambda new: new.join(over, "function").select(F.col("caller").alias("function"), "lval"), max_rounds=max_rounds)
 
 
 def argument_modsets(calls: DataFrame, own: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     """(function, lval) where an argument's lval is renamed at each call by passes (caller, callee, formal, actual); others pass as they are."""
-    over = calls.select("caller", F.col("callee").alias("function"), F.col("formal").alias("lval"), "actual")
+    over = once(calls.select("caller", F.col("callee").alias("function"), F.col("formal").alias("lval"), "actual"), "calls")
     return iterate(own.select("function", "lval"), lambda new: new.join(over, ["function", "lval"]).select(F.col("caller").alias("function"), F.col("actual").alias("lval")), max_rounds=max_rounds)
 
 
 def can_collect(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """Functions that call a root, at any depth, and the roots."""
-    over = calls.select(F.col("callee").alias("node"), "caller").distinct()
+    over = once(calls.select(F.col("callee").alias("node"), "caller").distinct(), "calls")
     return iterate(roots.select("node"), lambda new: new.join(over, "node").select(F.col("caller").alias("node")))
 
 

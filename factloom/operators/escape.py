@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.fixpoint import iterate
+from factloom.session import once
 
 
 def matches(base: Column, chain: Column) -> Column:
@@ -24,7 +25,7 @@ def matches(base: Column, chain: Column) -> Column:
 
 def expand_struct(copies: DataFrame, fields: DataFrame, *, max_depth: int = 8) -> DataFrame:
     """(source, target, type) of copies, with struct types (type, field, field_type) taken apart down to fields that aren't structs."""
-    parts = fields.select("type", "field", "field_type")
+    parts = once(fields.select("type", "field", "field_type"), "fields")
 
     def step(new: DataFrame) -> DataFrame:
         met = new.join(parts, "type")

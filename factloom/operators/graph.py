@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.fixpoint import iterate
-from factloom.session import materialize
+from factloom.session import materialize, once
 
 
 def reach(edges: DataFrame, seeds: DataFrame, *, backward: bool = False, avoid: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
     """Nodes reachable from seeds, seeds included, over paths that don't enter ``avoid``."""
     a, b = ("dst", "src") if backward else ("src", "dst")
-    over = edges.select(F.col(a).alias("node"), F.col(b).alias("to"))
+    over = once(edges, "edges").select(F.col(a).alias("node"), F.col(b).alias("to"))
     start = seeds.select("node")
     if avoid is not None:
         over = over.join(avoid.select(F.col("node").alias("to")), "to", "left_anti")
@@ -22,30 +22,39 @@ def reach(edges: DataFrame, seeds: DataFrame, *, backward: bool = False, avoid:
 
 def dominated(edges: DataFrame, entry: DataFrame, head: DataFrame) -> DataFrame:
     """Nodes that every path from entry reaches through head, head included."""
+    edges, entry, head = once(edges, "edges"), once(entry, "entry"), once(head, "head")
     return reach(edges, entry).join(reach(edges, entry, avoid=head), "node", "left_anti")
 
 
+def _into_head(edges: DataFrame, inside: DataFrame, head: DataFrame) -> DataFrame:
+    return edges.join(head.select(F.col("node").alias("dst")), "dst", "left_semi").join(inside.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+
+
 def back_edges(edges: DataFrame, entry: DataFrame, head: DataFrame) -> DataFrame:
     """Edges into head from nodes that it dominates."""
-    inside = dominated(edges, entry, head).select(F.col("node").alias("src"))
-    return edges.join(head.select(F.col("node").alias("dst")), "dst", "left_semi").join(inside, "src", "left_semi").select("src", "dst")
+    edges, entry, head = once(edges, "edges"), once(entry, "entry"), once(head, "head")
+    return _into_head(edges, dominated(edges, entry, head), head)
 
 
 def loop_body(edges: DataFrame, entry: DataFrame, head: DataFrame) -> DataFrame:
     """Nodes of the natural loop of head: those that reach a back edge's source without passing through head, and head."""
-    back = back_edges(edges, entry, head)
+    edges, entry, head = once(edges, "edges"), once(entry, "entry"), once(head, "head")
+    reached = reach(edges, entry)
+    back = materialize(_into_head(edges, reached.join(reach(edges, entry, avoid=head), "node", "left_anti"), head), "back-edges")
     inside = reach(edges, back.select(F.col("src").alias("node")), backward=True, avoid=head)
-    within = inside.join(reach(edges, entry), "node", "left_semi")
+    within = inside.join(reached, "node", "left_semi")
     return within.unionByName(head.join(back.select(F.col("dst").alias("node")), "node", "left_semi").select("node")).distinct()
 
 
 def trim(edges: DataFrame, entry: DataFrame, exits: DataFrame) -> DataFrame:
     """Nodes on a path from entry to an exit. What can't leave, such as an endless loop, goes."""
+    edges = once(edges, "edges")
     return reach(edges, entry).join(reach(edges, exits, backward=True), "node", "left_semi")
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, *, max_hops: int = 200) -> DataFrame:
     """(src, dst, hops): nodes that a path of at least one edge leads to, with the fewest edges."""
+    edges = once(edges, "edges")
     first = edges if seeds is None else edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi")
     over = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     start = first.select("src", "dst", F.lit(1).cast("long").alias("hops")).distinct()
@@ -54,6 +63,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, *, max_hops: int =
 
 def bounded_closure(edges: DataFrame, seeds: DataFrame, *, depth: int) -> tuple[DataFrame, bool]:
     """closure() to a depth, and whether it found everything."""
+    edges = once(edges, "edges")
     found = materialize(closure(edges, seeds, max_hops=depth), "closure")
     return found, found.filter(F.col("hops") == depth).join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").join(found.select("src", F.col("dst").alias("to")), ["src", "to"], "left_anti").isEmpty()
 
@@ -64,7 +74,7 @@ def context_closure(edges: DataFrame, seeds: DataFrame, *, max_context: int = 4,
     move is 'call', 'return' or 'stay'. A return from an empty context is free. Contexts of more than ``max_context`` sites
     aren't followed, which is what bounds recursion.
     """
-    over = edges.select(F.col("source").alias("target"), F.col("target").alias("to"), "site", "move")
+    over = once(edges, "edges").select(F.col("source").alias("target"), F.col("target").alias("to"), "site", "move")
     start = seeds.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit("").alias("context"))
 
     def step(new: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ def stages(nodes: DataFrame, edges: DataFrame, indirect: DataFrame | None = None
 
 def levels(edges: DataFrame, seeds: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     """(node, level) in an acyclic graph: the most edges on a path from a seed."""
-    over = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
+    over = once(edges, "edges").select(F.col("src").alias("node"), F.col("dst").alias("to"))
     paths = iterate(seeds.select("node", F.lit(0).cast("long").alias("level")), lambda new: new.join(over, "node").select(F.col("to").alias("node"), (F.col("level") + 1).alias("level")), max_rounds=max_rounds)
     return paths.groupBy("node").agg(F.max("level").alias("level"))
 

@@ -11,6 +11,7 @@ from factloom.functions import scalars as S
 from factloom.operators import callgraph, cfg, diff, escape, graph, guards, library, multimap, reporting, store, symbolic
 from factloom.plans import transaction
 from factloom.plans.tables import ASKED, EDGES, ENTRY, FINISHED, KV, LOG, REPORTS, SNAPSHOTS, TRAITS, analysis_log, asked, doc_traits, entry_and_head, finished_log, kv_log, part_edges, parts, path_reports, snapshots, table
+from factloom.session import once
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -348,10 +349,17 @@ def intern_objects(spark, sf_dir: str) -> DataFrame:
 
 
 def _edges_entry_head(spark, sf_dir: str):
-    edges = part_edges(spark, sf_dir)
+    edges = once(part_edges(spark, sf_dir), "edges")
     return edges, *entry_and_head(edges)
 
 
+def _looping(spark, sf_dir: str):
+    """The same with an edge back to head from every part that calls nothing."""
+    edges, entry, head = _edges_entry_head(spark, sf_dir)
+    ends = edges.select(F.col("dst").alias("src")).distinct().join(edges.select("src"), "src", "left_anti")
+    return edges.unionByName(ends.crossJoin(F.broadcast(head.select(F.col("node").alias("dst"))))).distinct(), entry, head  # head is one row
+
+
 @query(f"WITH RECURSIVE {ENTRY}, r AS (SELECT node FROM entry UNION SELECT e.dst FROM r JOIN edges AS e ON e.src = r.node) SELECT node FROM r")
 def reach_from_entry(spark, sf_dir: str) -> DataFrame:
     edges, entry, _ = _edges_entry_head(spark, sf_dir)
@@ -368,19 +376,20 @@ def dominated_by(spark, sf_dir: str) -> DataFrame:
     return graph.dominated(*_edges_entry_head(spark, sf_dir))
 
 
-BACK = f"{DOMINATED}, back AS (SELECT src, dst FROM edges WHERE dst IN (SELECT node FROM head) AND src IN (SELECT node FROM dom))"
+BACK = f"""{DOMINATED}, cfg AS (SELECT src, dst FROM edges UNION SELECT dst, (SELECT node FROM head) FROM edges WHERE dst NOT IN (SELECT src FROM edges)),
+back AS (SELECT src, dst FROM cfg WHERE dst IN (SELECT node FROM head) AND src IN (SELECT node FROM dom))"""
 
 
 @query(f"WITH RECURSIVE {BACK} SELECT src, dst FROM back")
 def back_edges(spark, sf_dir: str) -> DataFrame:
-    return graph.back_edges(*_edges_entry_head(spark, sf_dir))
+    return graph.back_edges(*_looping(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {BACK}, inside AS (SELECT src AS node FROM back WHERE src NOT IN (SELECT node FROM head)
 UNION SELECT e.src FROM inside AS i JOIN edges AS e ON e.dst = i.node WHERE e.src NOT IN (SELECT node FROM head))
 SELECT node FROM inside WHERE node IN (SELECT node FROM r) UNION SELECT dst FROM back""")
 def loop_body(spark, sf_dir: str) -> DataFrame:
-    return graph.loop_body(*_edges_entry_head(spark, sf_dir))
+    return graph.loop_body(*_looping(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {ENTRY}, r AS (SELECT node FROM entry UNION SELECT e.dst FROM r JOIN edges AS e ON e.src = r.node),

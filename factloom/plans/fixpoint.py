@@ -9,21 +9,32 @@ from pyspark.sql import DataFrame
 from factloom.session import materialize
 
 
+#: A frontier of so many rows takes several steps in a round: there the cost of a round is that of starting it.
+SMALL, STEPS = 50_000, 4
+
+
 def iterate(seed: DataFrame, step: Callable[[DataFrame], DataFrame], *, max_rounds: int = 200, key: list[str] | None = None) -> DataFrame:
     """Least set that holds seed and is closed under step.
 
     ``step`` maps newly found rows to candidates of the same columns. A row is known by ``key`` (default: all columns);
-    the round in which a key is first found keeps its row. Stops when a round adds nothing, or after ``max_rounds``.
+    the step in which a key is first found keeps its row. Stops when a round adds nothing, or after ``max_rounds`` steps.
     """
+    whole = key is None
     key = key or seed.columns
     new = materialize(seed.dropDuplicates(key), "fixpoint-0")
-    known = new
-    for n in range(1, max_rounds + 1):
-        found = step(new).select(seed.columns).dropDuplicates(key)
-        new = materialize(found.join(known.select(key), key, "left_anti"), f"fixpoint-{n}")
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-        if n % 8 == 0:
-            known = materialize(known, "fixpoint-known")
+    known, size, done, rounds = new, new.count(), 0, 0
+    while size and done < max_rounds:
+        steps = min(STEPS if whole and size <= SMALL else 1, max_rounds - done)
+        layer, found = new, None
+        for _ in range(steps):
+            layer = step(layer).select(seed.columns).dropDuplicates(key)
+            found = layer if found is None else found.unionByName(layer)
+        found = found.dropDuplicates(key) if steps > 1 else found
+        done, rounds = done + steps, rounds + 1
+        new = materialize(found.join(known.select(key), key, "left_anti"), f"fixpoint-{done}")
+        size = new.count()
+        if size:
+            known = known.unionByName(new)
+            if rounds % 8 == 0:
+                known = materialize(known, "fixpoint-known")
     return known

@@ -64,7 +64,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._factloom_written = True
+    return out
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, for loops that read it in every round; what is one already stays as it is."""
+    return df if getattr(df, "_factloom_written", False) else materialize(df, name)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
