@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from factloom.llm import decontamination, near_dedup, packing, personal_data, resampling
 from factloom.session import materialize
 
+#: Chunks that packing remembers in a worker, which other stages have filled too.
+PACKING_MEMORY = 400_000
 #: Keys of this many documents may be broadcast: 16 bytes each.
 BROADCAST_ROWS = 100_000
 
@@ -89,7 +91,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.tokenise(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.tokenise(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), memory=PACKING_MEMORY)
     return packing.pack(materialize(pieces, "pieces"))
 
 

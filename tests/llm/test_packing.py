@@ -21,9 +21,8 @@ def test_encoder_equals_whole_texts(spark):
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:50]
 
 
-def test_encoder_forgets_and_stays_right(monkeypatch):
-    monkeypatch.setattr(P, "MEMORY", 20)
-    whole, encode = Tokenizer.from_file(PATH), P.Encoder(PATH)
+def test_encoder_forgets_and_stays_right():
+    whole, encode = Tokenizer.from_file(PATH), P.Encoder(PATH, memory=20)
     for text in ["the cat sat, on the mat.", "another one here and there are many words to learn at once in this text", "the cat"] * 3:
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
