@@ -5,11 +5,11 @@ placeholders, the rest lower-case words. Documents are cut into consecutive wind
 windows start at every word. A run of 2 * WINDOW - 1 equal words holds a whole window of any such cutting, so a hash join
 of the two finds every run of that length, with one window per WINDOW words of the corpus instead of one per word.
 
-A hit (document, item, diagonal) is then measured: the longest run of equal template words along its diagonal, and within it
-the slots. A document is contaminated by an item when the run has ``LEAST_RUN`` words, or all of an item shorter than that (of
-2 * WINDOW - 1 words at least), and the slots are consistent: a value of the item stands for one value of the document and
-the other way round, which tells a re-parameterised question from an unrelated sentence of the same form. The result
-says whether any slot's value was changed.
+A hit (document, item, diagonal) is then measured along its diagonal. What counts is a run of equal template words whose slots
+are all consistent: a value of the item stands for one value of the document and the other way round, which tells a
+re-parameterised question from an unrelated sentence of the same form. A stretch of a run without a changed value counts
+whatever follows or precedes it. A document is contaminated by an item when the longest of all these has ``LEAST_RUN`` words, or
+all of an item shorter than that (of 2 * WINDOW - 1 words at least). The result says whether any slot's value was changed.
 
 Scale: the corpus' windows meet a table of the benchmark's windows. Where that table is within ``BROADCAST_BYTES`` by its
 own count it is broadcast and the corpus isn't shuffled; beyond that the join is by shuffled hash of the window, which can
@@ -102,19 +102,29 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     diagonal = (F.col("tile") * WINDOW - F.col("at")).alias("diagonal")
     lines = hits.groupBy("doc_tag", "doc", "item_tag", "item", "item_words", diagonal).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(same)))).alias("same"))
 
-    start = F.struct(*(F.lit(v).cast("int").alias(n) for n, v in (("last", -2), ("at", 0), ("best", 0), ("n", 0))))
+    # the latest earlier slot that a slot contradicts: one side is the same there and the other isn't
+    slots = F.filter("same", lambda x: x["slot"].isNotNull())
+    against = lambda x: F.filter(slots, lambda s: (s["pos"] < x["pos"]) & ((s["slot"]["d"] == x["slot"]["d"]) != (s["slot"]["b"] == x["slot"]["b"])))
+    bar = lambda x: F.when(x["slot"].isNotNull(), F.array_max(F.transform(against(x), lambda s: s["pos"])))
+    same = F.transform("same", lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(bar(x), F.lit(-1)).alias("bar"), F.coalesce(x["slot"]["d"] != x["slot"]["b"], F.lit(False)).alias("odd")))
 
-    def longest(a: Column, x: Column) -> Column:
-        at = F.when(x["pos"] == a["last"] + 1, a["at"]).otherwise(x["pos"])
-        n = x["pos"] - at + 1
-        return F.struct(x["pos"].alias("last"), at.alias("at"), F.when(n > a["n"], at).otherwise(a["best"]).alias("best"), F.greatest(a["n"], n).alias("n"))
+    stretch = lambda n, at: F.struct(n.cast("int").alias("n"), (-at).cast("int").alias("start"))
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("at"), F.lit(False).alias("ok"), F.lit(0).alias("as_is"), stretch(F.lit(0), F.lit(0)).alias("best"))
+    whole = lambda a: stretch(F.when(a["ok"], a["last"] - a["at"] + 1).otherwise(0), a["at"])
 
-    runs = lines.withColumn("run", F.aggregate("same", start, longest))
+    def longest(a: Column, x: Column) -> Column:
+        """Ends a run where a word differs; ``as_is`` is where the words without changed values began."""
+        new = x["pos"] != a["last"] + 1
+        at = F.when(new, x["pos"]).otherwise(a["at"])
+        as_is = F.when(x["odd"], x["pos"] + 1).when(new, x["pos"]).otherwise(a["as_is"])
+        best = F.greatest(a["best"], F.when(new, whole(a)).otherwise(a["best"]), stretch(x["pos"] - as_is + 1, as_is))
+        return F.struct(x["pos"].alias("last"), at.alias("at"), ((new | a["ok"]) & (x["bar"] < at)).alias("ok"), as_is.alias("as_is"), best.alias("best"))
+
+    runs = lines.withColumn("best", F.aggregate(same, start, longest, lambda a: F.greatest(a["best"], whole(a))))
+    runs = runs.withColumn("run", F.struct(F.col("best.n").alias("n"), (-F.col("best.start")).alias("best"))).drop("best")
     slots = F.transform(F.filter("same", lambda x: x["slot"].isNotNull() & x["pos"].between(F.col("run.best"), F.col("run.best") + F.col("run.n") - 1)), lambda x: x["slot"])
     runs = runs.withColumn("slots", slots)
-    pairs, items, docs = (F.size(F.array_distinct(c)) for c in (F.col("slots"), F.col("slots.b"), F.col("slots.d")))
-    long = (F.col("run.n") >= LEAST_RUN) | (F.col("run.n") == F.col("item_words"))
-    found = runs.filter(long & (pairs == items) & (pairs == docs))
+    found = runs.filter((F.col("run.n") >= LEAST_RUN) | (F.col("run.n") == F.col("item_words")))
     changed = F.size(F.filter("slots", lambda s: s["d"] != s["b"])).cast("long")
     best = F.max(F.struct(F.col("run.n").alias("run"), (-F.col("run.best")).alias("start"), F.size("slots").cast("long").alias("slots"), changed.alias("changed"))).alias("best")
     out = found.groupBy("doc_tag", "doc", "item_tag", "item", "item_words").agg(best)

@@ -23,6 +23,19 @@ def test_reparameterised_questions(spark):
         assert out == {(1, 1): (23, 5), (3, 1): (23, 0)}
 
 
+def test_copies_beside_an_inconsistent_slot(spark):
+    plain = [f"w{c}" for c in "abcdefghijklmnopq"]
+    item = " ".join(["start", "3", "and", "4", "ends", *plain[:9], "break", *plain])
+    texts = [
+        (1, ITEM.replace("12 dollars", "15 dollars")),  # 18 words as they are, then 12 stands for 15 too
+        (2, ITEM.replace("12 apples", "15 apples")),  # 8 and 14 words as they are
+        (3, " ".join(["start", "7", "and", "7", "ends", *plain[:9], "other", *plain])),  # 14 inconsistent words, and a second run
+        (4, ITEM.replace("12 apples", "15 apples").replace("Carol", "Bob")),  # no 13 words as they are
+    ]
+    out = {(r.doc_id, r.item_id): (r.run, r.changed) for r in run(spark, texts, [(1, ITEM), (2, item)]).collect()}
+    assert out == {(1, 1): (18, 0), (2, 1): (14, 0), (3, 2): (17, 0)}
+
+
 def test_every_run_of_thirteen_words(spark):
     words = [f"{a}{b}" for a in "qwrtpsdfg" for b in "aeiouy"]
     item = " ".join(words[:40])
