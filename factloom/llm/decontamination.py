@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Both sides are canonicalised: numbers, names (capitalised words inside a sentence) and units after numbers become typed
-placeholders, the rest lower-case words. Documents are cut into consecutive windows of ``WINDOW`` words; the benchmark's
+Both sides are canonicalised: white space is one space, numbers, names and units after numbers become typed placeholders, the rest
+lower-case words. What a name is can't be seen where a sentence opens or in text of one case, so a window has up to three
+templates: capitalised words inside a sentence as names, all capitalised words as names, and none. Two windows meet by any of
+them; along a diagonal two words are equal when one of the three makes them so. Documents are cut into consecutive windows of ``WINDOW`` words; the benchmark's
 windows start at every word. A run of 2 * WINDOW - 1 equal words holds a whole window of any such cutting, so a hash join
 of the two finds every run of that length, with one window per WINDOW words of the corpus instead of one per word.
 
@@ -37,9 +39,13 @@ NUMBER = r"[0-9]+(?:[.,][0-9]+)*+"
 
 
 def marked(text: Column) -> Column:
-    """Words with a space after each: lower case, slots as a mark, their type and their value."""
-    text = F.coalesce(text, F.lit(""))
+    """Words with a space after each: lower case, slots as a mark, their type and their value.
+
+    Types are n and u for numbers and units, p for capitalised words inside a sentence, q for other capitalised words.
+    """
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\S\x20]\s*+|\x20\s++", " ")
     named = F.regexp_replace(text, r"(?<=[a-z0-9,;:]\x20)([A-Z][a-z]+)(?![A-Za-z])", f"{MARK}p$1")
+    named = F.regexp_replace(named, r"([A-Z](?<![\p{L}\p{N}].)[a-z]+)(?![A-Za-z])", f"{MARK}q$1")
     has = text.rlike("[0-9]")
     numbered = F.regexp_replace(named, rf"(?<![\p{{L}}0-9.,])({NUMBER})(?![\p{{L}}0-9])", f" {MARK}n$1 ")
     united = F.regexp_replace(numbered, rf"(?i)(?<=[0-9]\x20)(\x20*)({UNITS})(?![\p{{L}}0-9])", f"$1{MARK}u$2")
@@ -48,9 +54,14 @@ def marked(text: Column) -> Column:
     return F.concat(F.ltrim(F.when(has, spaced).otherwise(plain)), F.lit(" "))
 
 
-def template(words: Column) -> Column:
-    """Placeholders without their values."""
-    return F.when(F.contains(words, F.lit(MARK)), F.regexp_replace(words, rf"{MARK}([npu])[^ ]*+", f"{MARK}$1")).otherwise(words)
+def hashes(words: Column) -> Column:
+    """Of each template, once: names inside sentences as placeholders, all capitalised words as placeholders, none."""
+    typed = F.when(F.contains(words, F.lit(MARK)), F.regexp_replace(words, rf"{MARK}([nu])[^ ]*+", f"{MARK}$1")).otherwise(words)
+    bare = lambda w, t: F.replace(w, F.lit(MARK + t), F.lit(""))
+    inside = F.regexp_replace(bare(typed, "q"), rf"{MARK}p[^ ]*+", f"{MARK}p")
+    every = F.regexp_replace(typed, rf"{MARK}[pq][^ ]*+", f"{MARK}p")
+    several = F.array_distinct(F.array(*(F.xxhash64(t) for t in (inside, every, bare(bare(typed, "q"), "p")))))
+    return F.when(typed.rlike(f"{MARK}[pq]"), several).otherwise(F.array(F.xxhash64(typed)))
 
 
 def words_of(marked_text: Column) -> Column:
@@ -58,21 +69,21 @@ def words_of(marked_text: Column) -> Column:
 
 
 def _windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """A row for the window at every word of an item: its hash, and the words from one window before to one after it."""
+    """A row for each template of the window at every word of an item: its hash, and the words from one window before to one after it."""
     items = benchmark.select(F.monotonically_increasing_id().alias("item_tag"), F.col(item_col).alias("item"), words_of(marked(F.col(text_col))).alias("words"))
     n = F.size("words")
     at = items.filter(n >= SHORTEST).select("item_tag", "item", "words", n.alias("item_words"), F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("at"))
     own = F.concat(F.array_join(F.slice("words", F.col("at") + 1, WINDOW), " "), F.lit(" "))
     near = F.transform(F.sequence(F.lit(-WINDOW), F.lit(2 * WINDOW - 1)), lambda j: F.when(F.col("at") + j >= 0, F.try_element_at("words", F.col("at") + j + 1)))
-    return at.select(F.xxhash64(template(own)).alias("h"), "item_tag", "item", "item_words", "at", near.alias("near"))
+    return at.select(F.explode(hashes(own)).alias("h"), "item_tag", "item", "item_words", "at", near.alias("near"))
 
 
 def _tiles(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each of the consecutive windows of a document; ``tiles`` holds them all."""
+    """A row for each template of the consecutive windows of a document; ``tiles`` holds them all."""
     docs = documents.select(F.monotonically_increasing_id().alias("doc_tag"), F.col(id_col).alias("doc"), marked(F.col(text_col)).alias("m"))
     docs = docs.select("doc_tag", "doc", F.regexp_extract_all("m", F.lit(rf"(?:[^ ]++ ){{1,{WINDOW}}}+"), F.lit(0)).alias("tiles"))
-    hashes = F.transform("tiles", lambda t: F.xxhash64(template(t)))
-    return docs.select("doc_tag", "doc", "tiles", hashes.alias("hs")).select("doc_tag", "doc", "tiles", F.posexplode("hs").alias("tile", "h"))
+    every = F.flatten(F.transform("tiles", lambda t, i: F.transform(hashes(t), lambda h: F.struct(i.alias("tile"), h.alias("h")))))
+    return docs.select("doc_tag", "doc", "tiles", F.explode(every).alias("at")).select("doc_tag", "doc", "tiles", "at.tile", "at.h")
 
 
 def _around(hits: DataFrame) -> DataFrame:
@@ -94,19 +105,27 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
     first = F.col("tile") * WINDOW - F.when(F.col("tile") > 0, WINDOW).otherwise(0)  # the text's first word
     shift = first - F.col("tile") * WINDOW + WINDOW  # of the document's words against ``near``
-    typed = lambda w: F.when(F.startswith(w, F.lit(MARK)), F.substring(w, 1, 2)).otherwise(w)
     both = F.transform(F.split(F.rtrim("text"), " "), lambda w, i: F.struct((first + i).alias("pos"), w.alias("w"), F.try_element_at("near", shift + i + 1).alias("b")))
-    same = F.filter(both, lambda x: typed(x["w"]) == typed(x["b"]))
-    slot = lambda x: F.when(F.startswith(x["w"], F.lit(MARK)), F.struct(x["w"].alias("d"), x["b"].alias("b")))
-    same = F.transform(same, lambda x: F.struct(x["pos"].alias("pos"), slot(x).alias("slot")))
+    kind = lambda w: F.when(F.startswith(w, F.lit(MARK)), F.substring(w, 2, 1)).otherwise("")
+    value = lambda w: F.when(kind(w).isin("p", "q"), F.substring(w, 3, 1 << 30)).otherwise(w)
+    pair = lambda x: F.struct(x["pos"].alias("pos"), kind(x["w"]).alias("dk"), kind(x["b"]).alias("bk"), value(x["w"]).alias("d"), value(x["b"]).alias("b"))
+    both = F.transform(F.filter(both, lambda x: x["b"].isNotNull()), pair)
+    name = lambda k: k.isin("p", "q")
+    same = F.filter(both, lambda x: (x["d"] == x["b"]) | ((x["dk"] == x["bk"]) & (x["dk"] != "")) | (name(x["dk"]) & name(x["bk"])))
+    # a slot of names inside sentences, numbers and units, and equal by these alone
+    strict = lambda x: (x["dk"] == x["bk"]) & x["dk"].isin("p", "n", "u")
+    alone = lambda x: strict(x) | ((x["d"] == x["b"]) & ~(x["dk"] == "p") & ~(x["bk"] == "p"))
+    slot = lambda x: F.when((x["dk"] != "") | (x["bk"] != ""), F.struct(x["d"].alias("d"), x["b"].alias("b")))
+    same = F.transform(same, lambda x: F.struct(x["pos"].alias("pos"), slot(x).alias("slot"), strict(x).alias("strict"), alone(x).alias("alone")))
     diagonal = (F.col("tile") * WINDOW - F.col("at")).alias("diagonal")
     lines = hits.groupBy("doc_tag", "doc", "item_tag", "item", "item_words", diagonal).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(same)))).alias("same"))
 
-    # the latest earlier slot that a slot contradicts: one side is the same there and the other isn't
-    slots = F.filter("same", lambda x: x["slot"].isNotNull())
-    against = lambda x: F.filter(slots, lambda s: (s["pos"] < x["pos"]) & ((s["slot"]["d"] == x["slot"]["d"]) != (s["slot"]["b"] == x["slot"]["b"])))
-    bar = lambda x: F.when(x["slot"].isNotNull(), F.array_max(F.transform(against(x), lambda s: s["pos"])))
-    same = F.transform("same", lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(bar(x), F.lit(-1)).alias("bar"), F.coalesce(x["slot"]["d"] != x["slot"]["b"], F.lit(False)).alias("odd")))
+    def barred(words: Column, is_slot) -> Column:
+        """With the latest earlier slot that a slot contradicts: one side is the same there and the other isn't."""
+        slots = F.filter(words, is_slot)
+        against = lambda x: F.filter(slots, lambda s: (s["pos"] < x["pos"]) & ((s["slot"]["d"] == x["slot"]["d"]) != (s["slot"]["b"] == x["slot"]["b"])))
+        bar = lambda x: F.when(is_slot(x), F.array_max(F.transform(against(x), lambda s: s["pos"])))
+        return F.transform(words, lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(bar(x), F.lit(-1)).alias("bar"), F.coalesce(x["slot"]["d"] != x["slot"]["b"], F.lit(False)).alias("odd")))
 
     stretch = lambda n, at: F.struct(n.cast("int").alias("n"), (-at).cast("int").alias("start"))
     start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("at"), F.lit(False).alias("ok"), F.lit(0).alias("as_is"), stretch(F.lit(0), F.lit(0)).alias("best"))
@@ -120,7 +139,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
         best = F.greatest(a["best"], F.when(new, whole(a)).otherwise(a["best"]), stretch(x["pos"] - as_is + 1, as_is))
         return F.struct(x["pos"].alias("last"), at.alias("at"), ((new | a["ok"]) & (x["bar"] < at)).alias("ok"), as_is.alias("as_is"), best.alias("best"))
 
-    runs = lines.withColumn("best", F.aggregate(same, start, longest, lambda a: F.greatest(a["best"], whole(a))))
+    best_of = lambda words: F.aggregate(words, start, longest, lambda a: F.greatest(a["best"], whole(a)))
+    every = best_of(barred(F.col("same"), lambda x: x["slot"].isNotNull()))
+    inside = best_of(barred(F.filter("same", lambda x: x["alone"]), lambda x: x["strict"]))
+    runs = lines.withColumn("best", F.greatest(every, inside))
     runs = runs.withColumn("run", F.struct(F.col("best.n").alias("n"), (-F.col("best.start")).alias("best"))).drop("best")
     slots = F.transform(F.filter("same", lambda x: x["slot"].isNotNull() & x["pos"].between(F.col("run.best"), F.col("run.best") + F.col("run.n") - 1)), lambda x: x["slot"])
     runs = runs.withColumn("slots", slots)

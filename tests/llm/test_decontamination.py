@@ -36,6 +36,20 @@ def test_copies_beside_an_inconsistent_slot(spark):
     assert out == {(1, 1): (18, 0), (2, 1): (14, 0), (3, 2): (17, 0)}
 
 
+def test_names_in_any_place_and_case(spark):
+    item = "Mary has 12 apples. Mary gives 3 apples to Tom each day. Mary then eats 2. How many apples are left for Mary now?"
+    names = "we saw Ann and Bob and Carl and Dora and Emil and Fritz and Gina and Hugo and Ida at the gate"
+    texts = [
+        (1, "Notes first. " + item.replace("Mary", "Anna").replace("Tom", "Bob").replace("12", "15").replace("3", "4")),
+        (2, names.lower()), (3, names.upper()), (4, names.replace(" ", "\n")), (5, "x y z " + ITEM.upper().replace(" ", " \n ")),
+        # consistent from the second sentence's second word on
+        (6, item.replace("Mary", "Anna", 2).replace("Tom", "Bob").replace("12", "15").replace("3", "4")),
+    ]
+    for size in (1 << 24, 0):
+        out = {(r.doc_id, r.item_id): (r.run, r.changed) for r in run(spark, texts, [(1, item), (2, names), (3, ITEM)], broadcast_bytes=size).collect()}
+        assert out == {(1, 1): (24, 7), (2, 2): (22, 0), (3, 2): (22, 0), (4, 2): (22, 0), (5, 3): (23, 0), (6, 1): (19, 2)}
+
+
 def test_every_run_of_thirteen_words(spark):
     words = [f"{a}{b}" for a in "qwrtpsdfg" for b in "aeiouy"]
     item = " ".join(words[:40])
