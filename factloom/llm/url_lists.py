@@ -41,7 +41,9 @@ def _span(day: Column) -> Column:
 def intervals(entries: DataFrame, until: Column) -> DataFrame:
     """(key, action, since, till): till is the day of the key's next entry, or ``until`` for the last."""
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).when(F.col("action") == "remove", 0)
-    known = entries.select(F.lower("key").alias("key"), rank.alias("rank"), F.col("since").cast("date").alias("since")).dropna()
+    host = F.substring_index("key", "/", 1)  # a segment's case counts
+    key = F.concat(F.lower(host), F.substr("key", F.length(host) + 1))
+    known = entries.select(key.alias("key"), rank.alias("rank"), F.col("since").cast("date").alias("since")).dropna()
     daily = known.groupBy("key", "since").agg(F.max("rank").alias("rank"))
     ends = F.lead("since").over(Window.partitionBy("key").orderBy("since"))
     dated = daily.withColumn("till", F.coalesce(ends, until)).filter("rank > 0 AND since < till")

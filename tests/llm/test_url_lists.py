@@ -14,6 +14,13 @@ def test_intervals_and_precedence(spark):
     assert [out[i] for i in range(len(seen))] == ["none", "block", "block", "none", "block", "allow", "block", "none", "block", "none", "none", "none", "block"]
 
 
+def test_case_of_segments(spark):
+    entries = spark.createDataFrame([("GitHub.com/UserName", "block", "2024-01-01"), ("site.org/Wiki", "block", "2024-01-01"), ("site.org/wiki", "allow", "2024-01-01"), ("site.org", "allow", "2024-01-01"), ("UPPER.org", "block", "2024-01-01")], "key string, action string, since string")
+    seen = ["https://github.com/UserName/x", "https://github.com/username", "http://SITE.org/Wiki/a", "http://site.org/wiki", "http://upper.ORG/a"]
+    out = U.filter_urls(spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(seen)], "page_id long, url string, fetched_on string"), entries).orderBy("page_id").collect()
+    assert [(r.verdict, r.key) for r in out] == [("block", "github.com/UserName"), ("none", None), ("block", "site.org/Wiki"), ("allow", "site.org/wiki"), ("block", "upper.org")]
+
+
 def test_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
