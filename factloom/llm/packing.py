@@ -9,8 +9,9 @@ duals into the best new pattern, until none improves. Pattern counts are rounded
 rank within class.
 
 Scale: one pass over the texts in Python (tokenizers), no text or ids shuffled, only a short row per piece. The solver on the
-driver sees the histogram alone. Ranks come from (class, salt) groups of bounded size with offsets by running sums, so
-a class that holds a third of all pieces doesn't meet in one task. The pattern table that is broadcast has at most one row per class and
+driver sees the histogram alone. Ranks come from (class, salt) groups with offsets by running sums; the salt is a hash of
+the place at which a piece was written, so groups are of bounded size even where very many pieces are equal, and a class
+that holds a third of all pieces doesn't meet in one task. The pattern table that is broadcast has at most one row per class and
 a bounded number of segments.
 
 Nulls and odd input: a null or empty text is the end id alone; a null id is kept. Repeated rows are packed each. Very long
@@ -37,6 +38,8 @@ SEQ_LEN, UNIT, END_ID = 4096, 16, 2
 MEMORY = 800_000
 #: Outside this range characters can compose, or lower case depends on context.
 COMPOSES = re.compile("[^\x00-\u012f\u0131-\u017f]")
+#: Words of letters that are composed as they are and whose lower case is one letter: such a word is one pre-token, whatever follows.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 SALT_ROWS, LEAST_SALTS = 10_000, 64
 
 
@@ -44,8 +47,9 @@ class Encoder:
     """Ids of a text as little-endian 32-bit bytes, equal to encoding it whole.
 
     The vocabulary's pre-tokeniser drops white space and no token spans it, so chunks between spaces or newlines can be
-    encoded apart and remembered. It also cuts between a letter and a full stop or comma, so a word is remembered once with
-    and without these; and it lowers case after composing characters, which can be done first where nothing composes.
+    encoded apart and remembered. It also cuts between a letter and a full stop or comma, so a plain word is remembered
+    once with and without these (letters of which composing or lower case makes a letter and a mark are not plain: the
+    mark joins what follows); and it lowers case after composing characters, which can be done first where nothing composes.
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -59,11 +63,11 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         part = [c for c in chunks if c not in self.known]
-        words = [c for c in part if c.isalpha()]
+        words = [c for c in part if PLAIN.fullmatch(c)]
         groups = [words[at : at + 50] for at in range(0, len(words), 50)]
         for some, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # a word of letters ends with its only word end
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # a plain word ends with its only word end
             if len(cuts) == len(some):
                 data, bounds = ids.tobytes(), [0, *cuts.tolist()]
                 self.known.update([(w, data[s:e]) for w, s, e in zip(some, bounds, bounds[1:], strict=False)])
@@ -77,7 +81,7 @@ class Encoder:
         if new := {c for c in chunks if c not in self.known}:
             if len(self.known) + len(new) > self.memory:
                 self.known, new = {}, set(chunks)
-            ended = [c for c in new if c[-1:] in (".", ",") and c[:-1].isalpha()]
+            ended = [c for c in new if c[-1:] in (".", ",") and PLAIN.fullmatch(c, 0, len(c) - 1)]
             self._learn([*{".", ",", *(c[:-1] for c in ended), *new.difference(ended)}])
             self.known.update([(c, self.known[c[:-1]] + self.known[c[-1]]) for c in ended])
         return b"".join(map(self.known.__getitem__, chunks))
@@ -197,8 +201,9 @@ def segments(patterns: list[tuple[np.ndarray, int]]) -> list[tuple]:
 
 def pack(pieces: DataFrame, *, seq_len: int = SEQ_LEN, unit: int = UNIT, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """Adds sequence_id and offset to pieces, whose length is 1 to seq_len."""
-    spark, capacity = pieces.sparkSession, seq_len // unit
-    classed = pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("int"))
+    spark, capacity, columns = pieces.sparkSession, seq_len // unit, pieces.columns
+    # Written with their places: equal pieces are told apart by these, in every later read alike.
+    classed = materialize(pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("int")).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = classed.groupBy("_class").count().collect()  # a row per class at most
     demand = np.zeros(capacity, dtype=np.int64)
     for row in histogram:
@@ -208,11 +213,11 @@ def pack(pieces: DataFrame, *, seq_len: int = SEQ_LEN, unit: int = UNIT, order:
     table = spark.createDataFrame(table, shape).coalesce(1)
 
     salts = max(LEAST_SALTS, int(demand.sum()) // SALT_ROWS)
-    salted = classed.withColumn("_salt", F.pmod(F.xxhash64(*order, "ids_crc32"), F.lit(salts)))
+    salted = classed.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
     counts = salted.groupBy("_class", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_class").orderBy("_salt")) - F.col("_n")
     offsets = counts.select("_class", "_salt", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(*order)) - 1
+    within = F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(*order, "_row")) - 1
     ranked = salted.withColumn("_within", within).join(offsets, ["_class", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_within"))
 
     # At most one row per class and a bounded number of segments: its size doesn't depend on the corpus.
@@ -223,7 +228,7 @@ def pack(pieces: DataFrame, *, seq_len: int = SEQ_LEN, unit: int = UNIT, order:
     placed = placed.withColumn("sequence_id", take("_seq0") + F.floor(F.col("_in") / take("_per"))).withColumn("_place", take("_place0") + F.pmod("_in", take("_per")))
     line = Window.partitionBy("sequence_id").orderBy("_place")
     offset = F.sum("length").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    return placed.select(*pieces.columns, "sequence_id", "_place").withColumn("offset", offset).drop("_place")
+    return placed.select(*columns, "sequence_id", "_place").withColumn("offset", offset).drop("_place")
 
 
 def sequences(packed: DataFrame, *, seq_len: int = SEQ_LEN, pad_id: int = 0) -> DataFrame:
@@ -241,5 +246,5 @@ def op8_packing(spark, sf_dir: str) -> DataFrame:
 
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = tokenise(documents, public_tokenizers.path("word_bpe_49k.json"))
-    packed = pack(materialize(pieces, "pieces"))
+    packed = pack(pieces)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

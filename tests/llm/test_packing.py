@@ -78,3 +78,23 @@ def test_training_rows(spark):
     packed = P.pack(P.tokenise(docs, PATH, seq_len=64, keep_ids=True), seq_len=64)
     rows = P.sequences(packed, seq_len=64, pad_id=0).withColumn("n", F.length("ids")).collect()
     assert sum(r.n_ids for r in rows) == 7 and all(r.n == 4 * (r.n_ids if r.n_ids.bit_count() == 1 else 64) for r in rows)
+
+
+def test_ids_of_letters_that_compose():
+    """Letters whose lower case or composed form is a letter and a mark, beside marks, stops and contractions."""
+    import random
+
+    encode = P.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    pool = "aeisxAEIZ.,.,'' \n\t0129-İıſßẞŉǰÀéœ²½٣ΣςΑΐКйЙ中文한가ΩÅʼnDžLj़ׁ̧́̇" + "".join(map(chr, [*range(0x958, 0x960), *range(0xFB1D, 0xFB4F)]))
+    draw = random.Random(1)
+    texts = ["SABAH GAZETESİ. son", "GAZETESİ, x", "हक़.", "השׁ.", *("".join(draw.choices(pool, k=draw.randint(0, 14))) for _ in range(20_000))]
+    wanted = encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, wanted, strict=True) if np.frombuffer(encode(t), "<u4").tolist() != w.ids] == []
+
+
+def test_equal_pieces_are_spread(spark):
+    n = 100_000
+    pieces = spark.range(n, numPartitions=4).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0L AS start", "1L AS length", "7L AS ids_crc32", "1L AS doc_tokens")
+    packed = P.pack(pieces)
+    got = packed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.min("offset").alias("low"), F.max("offset").alias("high"), F.countDistinct("offset").alias("places")).collect()
+    assert sum(r.n for r in got) == n and all(r.low == 0 and r.high == r.n - 1 and r.places == r.n for r in got) and len(got) <= n // 256 + 1
