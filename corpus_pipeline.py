@@ -92,7 +92,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     pieces = packing.tokenise(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), memory=PACKING_MEMORY)
-    return packing.pack(materialize(pieces, "pieces"))
+    return packing.pack(pieces)
 
 
 STAGES = [
