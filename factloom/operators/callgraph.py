@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.fixpoint import iterate
+from factloom.plans.fixpoint import iterate, spread
 from factloom.session import once
 
 
@@ -51,22 +51,21 @@ def callers_of(calls: DataFrame, changed: DataFrame) -> DataFrame:
     return calls.join(changed.select(F.col("node").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("node")).distinct()
 
 
-def modsets(calls: DataFrame, own: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+def modsets(calls: DataFrame, own: DataFrame) -> DataFrame:
     """(function, lval): what a function modifies itself or through its callees, to the fixpoint."""
-    over = once(calls.select(F.col("callee").alias("function"), "caller").distinct(), "calls")
-    return iterate(own.select("function", "lval"), lambda new: new.join(over, "function").select(F.col("caller").alias("function"), "lval"), max_rounds=max_rounds)
+    over = once(calls.select(F.col("callee").alias("node"), F.col("caller").alias("to")).distinct(), "calls")
+    return spread(own.select("function", "lval"), over, "function")
 
 
-def argument_modsets(calls: DataFrame, own: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+def argument_modsets(calls: DataFrame, own: DataFrame) -> DataFrame:
     """(function, lval) where an argument's lval is renamed at each call by passes (caller, callee, formal, actual); others pass as they are."""
     over = once(calls.select("caller", F.col("callee").alias("function"), F.col("formal").alias("lval"), "actual"), "calls")
-    return iterate(own.select("function", "lval"), lambda new: new.join(over, ["function", "lval"]).select(F.col("caller").alias("function"), F.col("actual").alias("lval")), max_rounds=max_rounds)
+    return iterate(own.select("function", "lval"), lambda new: new.join(over, ["function", "lval"]).select(F.col("caller").alias("function"), F.col("actual").alias("lval")))
 
 
 def can_collect(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """Functions that call a root, at any depth, and the roots."""
-    over = once(calls.select(F.col("callee").alias("node"), "caller").distinct(), "calls")
-    return iterate(roots.select("node"), lambda new: new.join(over, "node").select(F.col("caller").alias("node")))
+    return spread(roots.select("node"), once(calls.select(F.col("callee").alias("node"), F.col("caller").alias("to")).distinct(), "calls"))
 
 
 def summary_at_calls(calls: DataFrame, assumes: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.fixpoint import iterate
-from factloom.session import once
+from factloom.plans.fixpoint import iterate, spread
+from factloom.session import materialize, once
 
 
 def matches(base: Column, chain: Column) -> Column:
@@ -23,15 +23,23 @@ def matches(base: Column, chain: Column) -> Column:
     return F.transform(every, lambda p, i: F.struct(p.alias("place"), i.cast("int").alias("ordinal")))
 
 
-def expand_struct(copies: DataFrame, fields: DataFrame, *, max_depth: int = 8) -> DataFrame:
-    """(source, target, type) of copies, with struct types (type, field, field_type) taken apart down to fields that aren't structs."""
+def expand_struct(copies: DataFrame, fields: DataFrame) -> DataFrame:
+    """(source, target, type) of copies, with struct types (type, field, field_type) taken apart down to fields that aren't structs.
+
+    A type that holds itself has no finite size: it raises.
+    """
     parts = once(fields.select("type", "field", "field_type"), "fields")
+    nested = parts.join(parts.select(F.col("type").alias("field_type")).distinct(), "field_type", "left_semi").select(F.col("type").alias("node"), F.col("field_type").alias("to")).distinct()
+    nested = materialize(nested, "nested")
+    inside = spread(nested.select(F.col("node").alias("outer"), F.col("to").alias("node")), nested)
+    if not inside.filter("outer = node").isEmpty():
+        raise ValueError("a struct type holds itself")
 
     def step(new: DataFrame) -> DataFrame:
         met = new.join(parts, "type")
         return met.select(F.concat("source", F.lit("."), "field").alias("source"), F.concat("target", F.lit("."), "field").alias("target"), F.col("field_type").alias("type"))
 
-    every = iterate(copies.select("source", "target", "type"), step, max_rounds=max_depth)
+    every = iterate(copies.select("source", "target", "type"), step)
     return every.join(parts.select("type").distinct(), "type", "left_anti").select("source", "target", "type")
 
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.fixpoint import iterate
-from factloom.session import materialize, once
+from factloom.plans.fixpoint import iterate, spread
+from factloom.session import drop, materialize, once, rows
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *, backward: bool = False, avoid: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, *, backward: bool = False, avoid: DataFrame | None = None) -> DataFrame:
     """Nodes reachable from seeds, seeds included, over paths that don't enter ``avoid``."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     over = once(edges, "edges").select(F.col(a).alias("node"), F.col(b).alias("to"))
     start = seeds.select("node")
     if avoid is not None:
-        over = over.join(avoid.select(F.col("node").alias("to")), "to", "left_anti")
+        over = materialize(over.join(avoid.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to"), "edges")
         start = start.join(avoid.select("node"), "node", "left_anti")
-    return iterate(start, lambda new: new.join(over, "node").select(F.col("to").alias("node")), max_rounds=max_rounds)
+    return spread(start, over)
 
 
 def dominated(edges: DataFrame, entry: DataFrame, head: DataFrame) -> DataFrame:
@@ -52,102 +52,120 @@ def trim(edges: DataFrame, entry: DataFrame, exits: DataFrame) -> DataFrame:
     return reach(edges, entry).join(reach(edges, exits, backward=True), "node", "left_semi")
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, *, max_hops: int = 200) -> DataFrame:
-    """(src, dst, hops): nodes that a path of at least one edge leads to, with the fewest edges."""
+def closure(edges: DataFrame, seeds: DataFrame | None = None, *, depth: int | None = None) -> DataFrame:
+    """(src, dst, hops): nodes that a path of at least one edge (at most ``depth``, if given) leads to, with the fewest edges."""
     edges = once(edges, "edges")
     first = edges if seeds is None else edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi")
-    over = edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     start = first.select("src", "dst", F.lit(1).cast("long").alias("hops")).distinct()
-    return iterate(start, lambda new: new.join(over, "dst").select("src", F.col("to").alias("dst"), (F.col("hops") + 1).alias("hops")), key=["src", "dst"], max_rounds=max_hops - 1)
+    over = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
+    return spread(start, over, "dst", hops="hops", bound=None if depth is None else depth - 1)
 
 
 def bounded_closure(edges: DataFrame, seeds: DataFrame, *, depth: int) -> tuple[DataFrame, bool]:
     """closure() to a depth, and whether it found everything."""
     edges = once(edges, "edges")
-    found = materialize(closure(edges, seeds, max_hops=depth), "closure")
+    found = materialize(closure(edges, seeds, depth=depth), "closure")
     return found, found.filter(F.col("hops") == depth).join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").join(found.select("src", F.col("dst").alias("to")), ["src", "to"], "left_anti").isEmpty()
 
 
-def context_closure(edges: DataFrame, seeds: DataFrame, *, max_context: int = 4, max_rounds: int = 50) -> DataFrame:
+def context_closure(edges: DataFrame, seeds: DataFrame, *, max_context: int = 4) -> DataFrame:
     """(source, target, context) over edges (source, target, site, move): a call pushes its site, a return must match the last one.
 
-    move is 'call', 'return' or 'stay'. A return from an empty context is free. Contexts of more than ``max_context`` sites
-    aren't followed, which is what bounds recursion.
+    move is 'call', 'return' or 'stay'. A return from an empty context is free. A context holds its last ``max_context``
+    sites: an older one is forgotten, so that a return to it is free. That bounds contexts under recursion, and no flow is lost by it.
     """
     over = once(edges, "edges").select(F.col("source").alias("target"), F.col("target").alias("to"), "site", "move")
     start = seeds.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit("").alias("context"))
 
     def step(new: DataFrame) -> DataFrame:
         met = new.join(over, "target")
-        sites = F.split("context", "/")
-        depth = F.when(F.col("context") == "", 0).otherwise(F.size(sites))
-        top = F.element_at(sites, -1)
-        pushed = F.when(F.col("context") == "", F.col("site")).otherwise(F.concat_ws("/", "context", "site"))
+        sites = F.filter(F.split("context", "/"), lambda s: s != "")
+        depth = F.size(sites)
+        pushed = F.array_join(F.slice(F.concat(F.when(depth >= max_context, F.slice(sites, depth - max_context + 2, F.lit(max_context))).otherwise(sites), F.array("site")), 1, max_context), "/")
         popped = F.array_join(F.slice(sites, 1, F.greatest(depth - 1, F.lit(0))), "/")
-        context = F.when(F.col("move") == "call", F.when(depth < max_context, pushed)).when((F.col("move") == "return") & (depth > 0), F.when(top == F.col("site"), popped)).otherwise(F.col("context"))
+        back = F.when(depth == 0, F.col("context")).when(F.element_at(sites, -1) == F.col("site"), popped)
+        context = F.when(F.col("move") == "call", pushed).when(F.col("move") == "return", back).otherwise(F.col("context"))
         return met.select("source", F.col("to").alias("target"), context.alias("context")).filter("context IS NOT NULL")
 
-    return iterate(start, step, max_rounds=max_rounds)
+    return iterate(start, step)
 
 
 def stages(nodes: DataFrame, edges: DataFrame, indirect: DataFrame | None = None, *, n_stages: int = 5) -> DataFrame:
     """(node, stage): layered staging of callers after their callees; -1 for the final stage.
 
     A node enters stage k when all its callees that are nodes have entered earlier ones and it has no indirect call. A node
-    that calls itself never does. A stage is published when it is whole.
+    that calls itself never does. A node misses stage k if it has an indirect call or a callee that missed stage k - 1; the
+    first stage that it doesn't miss is its own. So the stages are a chain of joins over one written table.
     """
-    pending = materialize(nodes.select("node").distinct(), "pending")
+    pending = nodes.select("node").distinct()
     live = edges.select("src", "dst").distinct().join(pending.select(F.col("node").alias("dst")), "dst", "left_semi")
     live = materialize(live.join(pending.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"), "live")
-    out = None
+    never = pending.limit(0) if indirect is None else indirect.select("node").join(pending, "node", "left_semi").distinct()
+    missed, every = None, None
     for k in range(n_stages):
-        blocked = live.select(F.col("src").alias("node"))
-        if indirect is not None:
-            blocked = blocked.unionByName(indirect.select("node"))
-        marked = pending.join(blocked.distinct().withColumn("_b", F.lit(1)), "node", "left")
-        marked = materialize(marked, f"stage-{k}")
-        ready = marked.filter("_b IS NULL").select("node")
-        pending = marked.filter("_b IS NOT NULL").select("node")
-        live = materialize(live.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), f"live-{k}")
-        part = ready.withColumn("stage", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    rest = pending.withColumn("stage", F.lit(-1))
-    return rest if out is None else out.unionByName(rest)
-
-
-def levels(edges: DataFrame, seeds: DataFrame, *, max_rounds: int = 200) -> DataFrame:
-    """(node, level) in an acyclic graph: the most edges on a path from a seed."""
-    over = once(edges, "edges").select(F.col("src").alias("node"), F.col("dst").alias("to"))
-    paths = iterate(seeds.select("node", F.lit(0).cast("long").alias("level")), lambda new: new.join(over, "node").select(F.col("to").alias("node"), (F.col("level") + 1).alias("level")), max_rounds=max_rounds)
-    return paths.groupBy("node").agg(F.max("level").alias("level"))
-
-
-def follow(skips: DataFrame, *, max_rounds: int = 40) -> DataFrame:
-    """(node, target): where chains of skip edges (node, next) lead, by pointer jumping; a cycle of skips leads nowhere."""
-    now = materialize(skips.select("node", F.col("next").alias("target")), "skips")
-    for n in range(max_rounds):
+        above = live if missed is None else live.join(missed.select(F.col("node").alias("dst")), "dst", "left_semi")
+        missed = above.select(F.col("src").alias("node")).unionByName(never).distinct()
+        part = missed.withColumn("k", F.lit(k + 1))
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        return pending.withColumn("stage", F.lit(-1))
+    last = every.groupBy("node").agg(F.max("k").alias("k"))
+    return pending.join(last, "node", "left").select("node", F.when(F.col("k") == n_stages, -1).otherwise(F.coalesce("k", F.lit(0))).alias("stage"))
+
+
+def levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, level) in an acyclic graph: the most edges on a path from a seed. Raises where seeds lead to a cycle."""
+    over = once(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct(), "edges", count=True)
+    most = lambda df: df.groupBy("node").agg(F.max("level").alias("level"))
+    known = new = materialize(seeds.select("node", F.lit(0).cast("long").alias("level")).distinct(), "levels-0", count=True)
+    done, steps = 0, 4
+    while rows(new):
+        if done > rows(over):  # a path longer than there are edges
+            raise ValueError("the graph has a cycle")
+        layer, every = new, None
+        for _ in range(steps):
+            layer = most(layer.join(over, "node").select(F.col("to").alias("node"), (F.col("level") + 1).alias("level")))
+            every = layer if every is None else every.unionByName(layer)
+        done += steps
+        old = known.select("node", F.col("level").alias("was"))
+        new = materialize(most(every).join(old, "node", "left").filter("was IS NULL OR level > was").drop("was"), f"levels-{done}", count=True)
+        if rows(new):
+            both = materialize(most(known.unionByName(new)), "levels-known", count=True)
+            drop(known)
+            known = both
+    return known
+
+
+def follow(skips: DataFrame) -> DataFrame:
+    """(node, target): where chains of skip edges (node, next) lead, by pointer jumping; a cycle of skips leads nowhere.
+
+    Jumps double, so what still moves after as many rounds as the number of skips has binary digits is on a cycle or leads to one.
+    """
+    now = materialize(skips.select("node", F.col("next").alias("target")), "skips", count=True)
+    for n in range(rows(now).bit_length() + 1):
         onward = now.select(F.col("node").alias("target"), F.col("target").alias("further"))
         new = materialize(now.join(onward, "target", "left").select("node", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")), f"skips-{n}")
-        now = new.select("node", "target")
+        drop(now)
+        now = new
         if new.filter("moved").isEmpty():
-            return now
+            return now.select("node", "target")
     return now.join(now.select(F.col("node").alias("target")), "target", "left_anti").select("node", "target")
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each undirected component, by label propagation with pointer jumping."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each undirected component, by label propagation with pointer jumping until nothing changes."""
     both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
-    now = materialize(both.select(F.col("src").alias("node")).distinct().withColumn("root", F.col("node")), "roots")
-    for n in range(max_rounds):
-        near = both.join(now.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
-        step = now.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = now.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        step = step.join(jump, "root").select("node", "was", F.least("root", "up").alias("root"))
-        step = materialize(step, f"roots-{n}")
-        now = step.select("node", "root")
+    now = materialize(both.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("was"), F.col("node").alias("root")), "roots")
+    while True:
+        labels = now.select("node", "root")
+        near = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        step = materialize(step.join(jump, "root").select("node", "was", F.least("root", "up").alias("root")), "roots")
+        drop(now)
+        now = step
         if step.filter("was <> root").isEmpty():
-            break
-    return now
+            return step.select("node", "root")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

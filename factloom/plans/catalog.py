@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 from factloom.operators import callgraph, cfg, diff, escape, graph, guards, library, multimap, reporting, store, symbolic
 from factloom.plans import transaction
-from factloom.plans.tables import ASKED, EDGES, ENTRY, FINISHED, KV, LOG, REPORTS, SNAPSHOTS, TRAITS, analysis_log, asked, doc_traits, entry_and_head, finished_log, kv_log, part_edges, parts, path_reports, snapshots, table
+from factloom.plans.tables import ASKED, EDGES, ENTRY, FINISHED, FLOW, KV, LOG, REPORTS, SNAPSHOTS, STEPS, TRAITS, analysis_log, asked, doc_traits, entry_and_head, finished_log, flow, kv_log, part_edges, path_reports, points, snapshots, steps, table
 from factloom.session import once
 
 QUERIES: dict[str, Callable] = {}
@@ -315,7 +315,7 @@ def incremental_versions(spark, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir)
 
 
-@query(f"WITH {VERSIONS} SELECT key, CASE WHEN state <> 'same' OR CAST(key AS BIGINT) IN (SELECT doc_id FROM documents WHERE lang = 'de') THEN 'new' ELSE 'old' END AS section FROM versions")
+@query(f"WITH {VERSIONS} SELECT key, CASE WHEN state <> 'same' OR key IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'de') THEN 'new' ELSE 'old' END AS section FROM versions")
 def stage_incremental(spark, sf_dir: str) -> DataFrame:
     again = table(spark, sf_dir, "documents").filter("lang = 'de'").select(F.col("doc_id").cast("string").alias("key"))
     return diff.incremental_worklist(_versions(spark, sf_dir), again)
@@ -349,15 +349,7 @@ def intern_objects(spark, sf_dir: str) -> DataFrame:
 
 
 def _edges_entry_head(spark, sf_dir: str):
-    edges = once(part_edges(spark, sf_dir), "edges")
-    return edges, *entry_and_head(edges)
-
-
-def _looping(spark, sf_dir: str):
-    """The same with an edge back to head from every part that calls nothing."""
-    edges, entry, head = _edges_entry_head(spark, sf_dir)
-    ends = edges.select(F.col("dst").alias("src")).distinct().join(edges.select("src"), "src", "left_anti")
-    return edges.unionByName(ends.crossJoin(F.broadcast(head.select(F.col("node").alias("dst"))))).distinct(), entry, head  # head is one row
+    return once(flow(spark, sf_dir), "edges"), *entry_and_head(spark, sf_dir)
 
 
 @query(f"WITH RECURSIVE {ENTRY}, r AS (SELECT node FROM entry UNION SELECT e.dst FROM r JOIN edges AS e ON e.src = r.node) SELECT node FROM r")
@@ -376,20 +368,19 @@ def dominated_by(spark, sf_dir: str) -> DataFrame:
     return graph.dominated(*_edges_entry_head(spark, sf_dir))
 
 
-BACK = f"""{DOMINATED}, cfg AS (SELECT src, dst FROM edges UNION SELECT dst, (SELECT node FROM head) FROM edges WHERE dst NOT IN (SELECT src FROM edges)),
-back AS (SELECT src, dst FROM cfg WHERE dst IN (SELECT node FROM head) AND src IN (SELECT node FROM dom))"""
+BACK = f"""{DOMINATED}, back AS (SELECT src, dst FROM edges WHERE dst IN (SELECT node FROM head) AND src IN (SELECT node FROM dom))"""
 
 
 @query(f"WITH RECURSIVE {BACK} SELECT src, dst FROM back")
 def back_edges(spark, sf_dir: str) -> DataFrame:
-    return graph.back_edges(*_looping(spark, sf_dir))
+    return graph.back_edges(*_edges_entry_head(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {BACK}, inside AS (SELECT src AS node FROM back WHERE src NOT IN (SELECT node FROM head)
 UNION SELECT e.src FROM inside AS i JOIN edges AS e ON e.dst = i.node WHERE e.src NOT IN (SELECT node FROM head))
 SELECT node FROM inside WHERE node IN (SELECT node FROM r) UNION SELECT dst FROM back""")
 def loop_body(spark, sf_dir: str) -> DataFrame:
-    return graph.loop_body(*_looping(spark, sf_dir))
+    return graph.loop_body(*_edges_entry_head(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {ENTRY}, r AS (SELECT node FROM entry UNION SELECT e.dst FROM r JOIN edges AS e ON e.src = r.node),
@@ -399,24 +390,25 @@ def trim_unreachable(spark, sf_dir: str) -> DataFrame:
     return graph.trim(edges, entry, edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")), "node", "left_anti"))
 
 
-@query(f"WITH RECURSIVE {EDGES}, up AS (SELECT src, dst FROM edges WHERE src < dst), l AS (SELECT DISTINCT src AS node, 0 AS level FROM up WHERE src NOT IN (SELECT dst FROM up) UNION SELECT u.dst, l.level + 1 FROM l JOIN up AS u ON u.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
+@query(f"WITH RECURSIVE {STEPS}, l AS (SELECT node, 0 AS level FROM points WHERE place = 1 UNION SELECT e.dst, l.level + 1 FROM l JOIN edges AS e ON e.src = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
 def topo_level(spark, sf_dir: str) -> DataFrame:
-    up = part_edges(spark, sf_dir).filter("src < dst")
-    return graph.levels(up, up.select(F.col("src").alias("node")).distinct().join(up.select(F.col("dst").alias("node")), "node", "left_anti"))
+    return graph.levels(steps(spark, sf_dir), entry_and_head(spark, sf_dir)[0])
 
 
 def _stage_sql() -> str:
-    steps = [f"{EDGES}, s0 AS (SELECT p_partkey AS node, 0 AS stage FROM part WHERE p_partkey NOT IN (SELECT src FROM edges WHERE dst IN (SELECT p_partkey FROM part)))"]
+    withs = [f"{STEPS}, indirect AS (SELECT node FROM points WHERE part % 97 = 0), s0 AS (SELECT node, 0 AS stage FROM points WHERE node NOT IN (SELECT src FROM edges) AND node NOT IN (SELECT node FROM indirect))"]
     for k in range(1, 5):
         done = " UNION ALL ".join(f"SELECT node FROM s{i}" for i in range(k))
-        steps.append(f"d{k} AS ({done}), s{k} AS (SELECT p_partkey AS node, {k} AS stage FROM part WHERE p_partkey NOT IN (SELECT node FROM d{k}) AND p_partkey NOT IN (SELECT src FROM edges WHERE dst IN (SELECT p_partkey FROM part) AND dst NOT IN (SELECT node FROM d{k})))")
+        withs.append(f"d{k} AS ({done}), s{k} AS (SELECT node, {k} AS stage FROM points WHERE node NOT IN (SELECT node FROM d{k}) AND node NOT IN (SELECT node FROM indirect) AND node NOT IN (SELECT src FROM edges WHERE dst NOT IN (SELECT node FROM d{k})))")
     every = " UNION ALL ".join(f"SELECT node, stage FROM s{i}" for i in range(5))
-    return f"WITH {', '.join(steps)}, staged AS ({every}) SELECT p_partkey AS node, coalesce(stage, -1) AS stage FROM part LEFT JOIN staged ON node = p_partkey"
+    return f"WITH {', '.join(withs)}, staged AS ({every}) SELECT node, coalesce(stage, -1) AS stage FROM points LEFT JOIN staged USING (node)"
 
 
 @query(_stage_sql())
 def stage_worklist(spark, sf_dir: str) -> DataFrame:
-    return graph.stages(parts(spark, sf_dir), part_edges(spark, sf_dir))
+    """A function per line item that calls the next ones; some parts are called through pointers."""
+    p = points(spark, sf_dir)
+    return graph.stages(p.select("node"), steps(spark, sf_dir), p.filter("part % 97 = 0").select("node"))
 
 
 @query("""SELECT conv_id, turn, (SELECT min(b.turn) FROM conversations AS b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.role <> 'user') AS target
@@ -442,7 +434,7 @@ def graph_fingerprint(spark, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-c AS (SELECT src AS node, src AS root FROM u UNION SELECT u.dst, c.root FROM c JOIN u ON u.src = c.node WHERE c.root < u.dst) SELECT node, min(root) AS root FROM c GROUP BY node""")
+c AS (SELECT src AS node, src AS root FROM u WHERE src NOT IN (SELECT src FROM u WHERE dst < src) UNION SELECT u.dst, c.root FROM c JOIN u ON u.src = c.node) SELECT node, min(root) AS root FROM c GROUP BY node""")
 def connected_parts(spark, sf_dir: str) -> DataFrame:
     return graph.components(part_edges(spark, sf_dir))
 
@@ -501,35 +493,42 @@ def callers_to_reanalyze(spark, sf_dir: str) -> DataFrame:
     return callgraph.callers_of(_calls(spark, sf_dir), table(spark, sf_dir, "part").filter("p_size > 45").select(F.col("p_partkey").alias("node")))
 
 
-ESCAPE = f"{EDGES}, c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges AS e ON e.src = c.dst)"
-
-
-@query(f"WITH RECURSIVE {ESCAPE} SELECT src, dst FROM c")
+@query(f"WITH RECURSIVE {FLOW}, c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges AS e ON e.src = c.dst) SELECT src, dst FROM c")
 def escape_closure(spark, sf_dir: str) -> DataFrame:
-    return graph.closure(part_edges(spark, sf_dir)).select("src", "dst")
+    return graph.closure(flow(spark, sf_dir)).select("src", "dst")
 
 
-@query(f"WITH RECURSIVE {EDGES}, c AS (SELECT src, dst, 1 AS hops FROM edges UNION SELECT c.src, e.dst, c.hops + 1 FROM c JOIN edges AS e ON e.src = c.dst WHERE c.hops < 3) SELECT src, dst, min(hops) AS hops FROM c GROUP BY src, dst")
+@query(f"WITH RECURSIVE {FLOW}, c AS (SELECT src, dst, 1 AS hops FROM edges UNION SELECT c.src, e.dst, c.hops + 1 FROM c JOIN edges AS e ON e.src = c.dst WHERE c.hops < 3) SELECT src, dst, min(hops) AS hops FROM c GROUP BY src, dst")
 def escape_bounded(spark, sf_dir: str) -> DataFrame:
-    return graph.bounded_closure(part_edges(spark, sf_dir), parts(spark, sf_dir), depth=3)[0]
+    return graph.bounded_closure(flow(spark, sf_dir), points(spark, sf_dir).select("node"), depth=3)[0]
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLOW}, moves AS (SELECT src, dst, CASE (src + dst) % 3 WHEN 0 THEN 'call' WHEN 1 THEN 'return' ELSE 'stay' END AS move, CAST((src * 7 + dst) % 5 AS VARCHAR) AS site FROM edges),
+c AS (SELECT node AS source, node AS target, CAST([] AS VARCHAR[]) AS context FROM points WHERE place = 1
+UNION SELECT c.source, m.dst, CASE WHEN m.move = 'call' THEN list_append(c.context, m.site)[-2:] WHEN m.move = 'return' THEN c.context[:-2] ELSE c.context END
+FROM c JOIN moves AS m ON m.src = c.target WHERE m.move <> 'return' OR len(c.context) = 0 OR c.context[-1] = m.site)
+SELECT source, target, array_to_string(context, '/') AS context FROM c""")
 def escape_closure_context(spark, sf_dir: str) -> DataFrame:
     move = F.when(F.expr("(src + dst) % 3 = 0"), "call").when(F.expr("(src + dst) % 3 = 1"), "return").otherwise("stay")
-    edges = part_edges(spark, sf_dir).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.expr("CAST((src + dst) % 5 AS STRING)").alias("site"), move.alias("move"))
-    return graph.context_closure(edges, parts(spark, sf_dir), max_context=3)
+    edges = flow(spark, sf_dir).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.expr("CAST((src * 7 + dst) % 5 AS STRING)").alias("site"), move.alias("move"))
+    return graph.context_closure(edges, entry_and_head(spark, sf_dir)[0], max_context=2)
+
+
+def _point_calls(spark, sf_dir: str) -> DataFrame:
+    return flow(spark, sf_dir).select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
 
 
-@query(f"WITH RECURSIVE {CALLS}, m AS (SELECT p_partkey AS function, p_brand AS lval FROM part UNION SELECT c.caller, m.lval FROM m JOIN calls AS c ON c.callee = m.function) SELECT function, lval FROM m")
+@query(f"WITH RECURSIVE {FLOW}, m AS (SELECT node AS function, p_brand AS lval FROM points JOIN part ON p_partkey = part UNION SELECT e.src, m.lval FROM m JOIN edges AS e ON e.dst = m.function) SELECT function, lval FROM m")
 def modset_fixpoint(spark, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.col("p_brand").alias("lval"))
-    return callgraph.modsets(_calls(spark, sf_dir), own)
+    """A function per line item, which writes its part's brand."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("lval"))
+    return callgraph.modsets(_point_calls(spark, sf_dir), points(spark, sf_dir).join(brands, "part").select(F.col("node").alias("function"), "lval"))
 
 
-@query(f"WITH RECURSIVE {CALLS}, m AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT c.caller FROM m JOIN calls AS c ON c.callee = m.node) SELECT node FROM m")
+@query(f"WITH RECURSIVE {FLOW}, m AS (SELECT node FROM points JOIN part ON p_partkey = part WHERE p_size = 1 UNION SELECT e.src FROM m JOIN edges AS e ON e.dst = m.node) SELECT node FROM m")
 def can_gc_propagation(spark, sf_dir: str) -> DataFrame:
-    return callgraph.can_collect(_calls(spark, sf_dir), table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node")))
+    roots = table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("part"))
+    return callgraph.can_collect(_point_calls(spark, sf_dir), points(spark, sf_dir).join(roots, "part").select("node"))
 
 
 @query("""SELECT DISTINCT l_suppkey AS caller, l_orderkey AS site, l_partkey AS callee, CASE WHEN l_returnflag = 'N' THEN 'receiver=' || l_partkey || ' => ' || p_type ELSE p_type END AS bit

@@ -26,44 +26,80 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = "asked AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer)"
 
 
-def part_edges(spark: SparkSession, sf_dir: str, least: int = 45) -> DataFrame:
-    """Consecutive parts of an order's large items, as calls."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive parts of an order, as calls."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).filter("dst IS NOT NULL").distinct()
 
 
-EDGES = """edges AS (SELECT DISTINCT src, dst FROM (
-  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-  FROM lineitem WHERE l_quantity >= 45) WHERE dst IS NOT NULL)"""
+EDGES = f"""edges AS (SELECT DISTINCT src, dst FROM (
+  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS dst
+  FROM lineitem) WHERE dst IS NOT NULL)"""
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
 
 
-def entry_and_head(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The part with the most calls, and the smallest that it calls."""
-    entry = edges.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(1).select(F.col("src").alias("node"))
-    head = edges.join(entry.select(F.col("node").alias("src")), "src").filter("dst <> src").agg(F.min("dst").alias("node"))
-    return entry, head
+#: Line items as points of a function per order: a point is 1000 * order + place, an order has n points.
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, first, place, n, part, flag) of every line item."""
+    order = Window.partitionBy("l_orderkey")
+    base = F.col("l_orderkey") * 1000
+    place = F.row_number().over(order.orderBy(*LINE_ORDER))
+    lines = table(spark, sf_dir, "lineitem").select(base.alias("first"), place.alias("place"), F.count("*").over(order).alias("n"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"))
+    return lines.select((F.col("first") + F.col("place")).alias("node"), (F.col("first") + 1).alias("first"), "place", "n", "part", "flag")
+
+
+POINTS = f"""points AS (SELECT l_orderkey * 1000 + place AS node, l_orderkey * 1000 + 1 AS first, place, n, part, flag FROM (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS place, count(*) OVER (PARTITION BY l_orderkey) AS n,
+  l_partkey AS part, l_returnflag AS flag FROM lineitem))"""
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to the next point, and from points with flag A to the one after it; no cycles."""
+    p = points(spark, sf_dir)
+    onward = F.when(F.col("flag") == "A", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return p.select("node", "place", "n", F.explode(onward).alias("by")).filter("place + by <= n").select(F.col("node").alias("src"), (F.col("node") + F.col("by")).alias("dst"))
+
+
+STEPS = f"""{POINTS}, edges AS (SELECT node AS src, node + b AS dst FROM points, (VALUES (1), (2)) AS v(b) WHERE place + b <= n AND (b = 1 OR flag = 'A'))"""
+
+
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to the next point, and jumps from points with flag R to a point that their part picks; with cycles."""
+    p = points(spark, sf_dir)
+    onward = p.filter("place < n").select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    return onward.unionByName(p.filter("flag = 'R'").select(F.col("node").alias("src"), (F.col("first") + F.pmod("part", "n")).alias("dst"))).distinct()
+
+
+FLOW = f"""{POINTS}, edges AS (SELECT node AS src, node + 1 AS dst FROM points WHERE place < n UNION SELECT node, first + part % n FROM points WHERE flag = 'R')"""
+
+
+def entry_and_head(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first point of every function, and the second as the head of its loop."""
+    p = points(spark, sf_dir)
+    return p.filter("place = 1").select("node"), p.filter("place = 2").select("node")
 
 
-ENTRY = f"""{EDGES},
-entry AS (SELECT src AS node FROM edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
-head AS (SELECT min(dst) AS node FROM edges WHERE src = (SELECT node FROM entry) AND dst <> src)"""
+ENTRY = f"""{FLOW}, entry AS (SELECT node FROM points WHERE place = 1), head AS (SELECT node FROM points WHERE place = 2)"""
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs over documents: each lacks some that the other has, and the second has changed texts."""
+    """Two runs over documents: some have another key in each run, and the second has changed texts."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", "lang", "source", "n_chars")
-    old = docs.filter("lang <> 'es'").select("key", "text", (F.col("n_chars") % 3).alias("version"))
-    new = docs.filter("source <> 'src1'").select("key", F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    renamed = lambda cond, prefix: F.when(cond, F.concat(F.lit(prefix), "key")).otherwise(F.col("key")).alias("key")
+    old = docs.select(renamed(F.col("lang") == "es", "old"), "text", (F.col("n_chars") % 3).alias("version"))
+    new = docs.select(renamed(F.col("source") == "src1", "new"), F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     return old, new
 
 
-SNAPSHOTS = """old AS (SELECT CAST(doc_id AS VARCHAR) AS key, text, n_chars % 3 AS version FROM documents WHERE lang <> 'es'),
-new AS (SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text FROM documents WHERE source <> 'src1')"""
+SNAPSHOTS = """old AS (SELECT CASE WHEN lang = 'es' THEN 'old' ELSE '' END || doc_id AS key, text, n_chars % 3 AS version FROM documents),
+new AS (SELECT CASE WHEN source = 'src1' THEN 'new' ELSE '' END || doc_id AS key, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text FROM documents)"""
 
 
 def analysis_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", app: str = "factloom", **conf: str) -> SparkSession:
@@ -25,10 +27,13 @@ def local_session(cpus: str | int = "*", app: str = "factloom", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor can read.
 
-    Where it is unset, as in tests on one machine, a new local folder takes its place.
+    Where it is unset and the master is one process, as in tests, a new local folder takes its place. On a cluster that
+    would be another folder on every machine, so there it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark, "_factloom_scratch", None)
         if root is None:
             root = spark._factloom_scratch = "file://" + tempfile.mkdtemp(prefix="factloom-")
@@ -59,19 +64,38 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
             spark.conf.set(name, value)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, *, count: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With ``count`` the rows are counted while they are written (see rows()).
+    """
+    path, seen = scratch_path(df.sparkSession, name), Observation()
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        (df.observe(seen, F.count(F.lit(1)).alias("n")) if count else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._factloom_written = True
+    out._factloom_path = path
+    if count:
+        out._factloom_rows = seen.get.get("n", 0)
     return out
 
 
-def once(df: DataFrame, name: str) -> DataFrame:
+def rows(df: DataFrame) -> int:
+    """Rows of a written table, as counted while it was written: no fewer than it has (a task that ran twice may count twice),
+    and none if it has none."""
+    found = getattr(df, "_factloom_rows", None)
+    return df.count() if found is None else found
+
+
+def once(df: DataFrame, name: str, *, count: bool = False) -> DataFrame:
     """df as a written table, for loops that read it in every round; what is one already stays as it is."""
-    return df if getattr(df, "_factloom_written", False) else materialize(df, name)
+    return df if hasattr(df, "_factloom_path") else materialize(df, name, count=count)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_factloom_path", None):
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

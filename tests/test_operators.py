@@ -93,7 +93,7 @@ def test_loop_with_two_back_edges(spark):
 
 def test_skip_chains_and_cycles(spark):
     skips = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "node string, next string")
-    assert got(graph.follow(skips, max_rounds=8)) == [("a", "d"), ("b", "d"), ("c", "d")]
+    assert got(graph.follow(skips)) == [("a", "d"), ("b", "d"), ("c", "d")]
 
 
 def test_context_must_match_on_return(spark):
@@ -204,3 +204,36 @@ def test_pages(spark):
     assert pages["d"] == '<ul><li><a href="d/a.c">a.c</a> 2</li><li><a href="d/e">e</a> 1</li></ul>' and pages[""] == '<ul><li><a href="d">d</a> 3</li></ul>'
     out = sinks.source_pages(spark.createDataFrame([("r1", "a.c", 2)], "name string, file string, line int"), spark.createDataFrame([("a.c", "x\ny < z\nw")], "file string, text string"))
     assert out.first()["html"] == "<pre>x\n<b>y &lt; z</b>\nw</pre>"
+
+
+def test_fixpoints_run_to_the_end(spark):
+    n = 1_000
+    chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graph.reach(chain, start).count() == n + 1
+    assert graph.closure(chain, start).agg({"hops": "max"}).first()[0] == n
+    ring = chain.unionByName(spark.createDataFrame([(n, 0)], "src long, dst long"))
+    assert graph.closure(ring, start).filter("dst = 0").first().hops == n + 1
+    assert graph.reach(ring, spark.createDataFrame([(5,)], "node long"), avoid=spark.createDataFrame([(3,)], "node long")).count() == n - 1
+    full = spark.range(80).selectExpr("id AS src").crossJoin(spark.range(80).selectExpr("id AS dst"))
+    assert graph.closure(full).count() == 6_400
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"), start)
+    assert graph.closure(chain, start, depth=7).count() == 7
+
+
+def test_struct_nested_deep(spark):
+    fields = spark.createDataFrame([(f"t{i}", "f", f"t{i + 1}") for i in range(20)], "type string, field string, field_type string")
+    copies = spark.createDataFrame([("a", "b", "t0")], "source string, target string, type string")
+    (row,) = escape.expand_struct(copies, fields).collect()
+    assert row.type == "t20" and row.source == "a" + ".f" * 20
+    with pytest.raises(ValueError, match="holds itself"):
+        escape.expand_struct(copies, fields.unionByName(spark.createDataFrame([("t9", "g", "t2")], fields.schema)))
+
+
+def test_contexts_forget_the_oldest_site(spark):
+    rows = [(f"n{i}", f"n{i + 1}", str(i), "call") for i in range(6)] + [(f"n{i}", f"n{i + 1}", str(11 - i), "return") for i in range(6, 12)]
+    edges = spark.createDataFrame(rows, "source string, target string, site string, move string")
+    found = {r.target: r.context for r in graph.context_closure(edges, nodes(spark, ["n0"]), max_context=2).collect()}
+    assert found["n6"] == "4/5" and found["n8"] == "" and found["n12"] == ""
+    assert graph.context_closure(edges.unionByName(spark.createDataFrame([("n3", "n0", "9", "call")], edges.schema)), nodes(spark, ["n0"]), max_context=2).filter("target = 'n12'").count() >= 1
