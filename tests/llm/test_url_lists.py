@@ -21,6 +21,13 @@ def test_case_of_segments(spark):
     assert [(r.verdict, r.key) for r in out] == [("block", "github.com/UserName"), ("none", None), ("block", "site.org/Wiki"), ("allow", "site.org/wiki"), ("block", "upper.org")]
 
 
+def test_hosts_and_far_days(spark):
+    entries = spark.createDataFrame([("example.com.", "block", "2024-01-01"), ("[2001:DB8::1]/x", "block", "2024-01-01"), ("3.4", "block", "2024-01-01"), ("1.2.3.4", "allow", "2024-01-01"), ("late.org", "block", "2099-01-01"), ("old.org", "block", "1700-01-01")], "key string, action string, since string")
+    seen = [("http://a.EXAMPLE.com./", "2024-02-01"), ("http://[2001:db8::1]:80/x/y", "2024-02-01"), ("http://[2001:db8::1]/z", "2024-02-01"), ("http://1.2.3.4:8/", "2024-02-01"), ("http://9.8.3.4/", "2024-02-01"), ("http://late.org/", "2150-06-01"), ("http://late.org/", "2098-12-31"), ("http://u:p@x@late.org/a@b", "9999-12-31"), ("http://old.org?x", "1800-01-01")]
+    out = U.filter_urls(spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate(seen)], "page_id long, url string, fetched_on string"), entries).orderBy("page_id").collect()
+    assert [r.verdict for r in out] == ["block", "block", "none", "allow", "none", "block", "none", "block", "block"]
+
+
 def test_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
