@@ -15,8 +15,8 @@ counts a round. Texts aren't shuffled; the labelled ids are broadcast, at most 1
 Nulls, ties, sizes: a null or empty text has log weight 0; a null id gets the noise of null; repeated rows have equal keys and
 stay or go together, and rows that tie with the k-th key all stay. Without labelled good documents all weights are 0 and
 everything stays; without labelled bad ones everything that weighs no less than the lightest good one stays. A document with two labels counts
-by the lower. Empty tables give an empty result. Other columns are carried along, except that names beginning with
-an underscore are reserved.
+by the lower; a labelled id that several documents have counts once for the threshold, by the lightest of them. Empty tables give an empty result. Other columns are carried along in one struct, ``row``, so that none can
+clash with those of this module, whatever it is called.
 """
 
 from __future__ import annotations
@@ -62,8 +62,8 @@ def labelled(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "qua
     return one.orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(2)).cast("int"))
 
 
-def log_ratios(documents: DataFrame, *, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """log(p_target / p_raw) by bucket; the target's documents have _label 1 and _fold 0."""
+def log_ratios(documents: DataFrame, *, buckets: int = BUCKETS) -> np.ndarray:
+    """log(p_target / p_raw) by bucket of documents (text, _label, _fold); the target's have _label 1 and _fold 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
@@ -76,7 +76,7 @@ def log_ratios(documents: DataFrame, *, text_col: str = "text", buckets: int = B
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counted = documents.select(text_col, "_label", "_fold").mapInArrow(count, "bucket long, raw long, target long")
+    counted = documents.select("text", "_label", "_fold").mapInArrow(count, "bucket long, raw long, target long")
     with small_batches(documents.sparkSession):
         totals = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.ones(buckets), np.ones(buckets)
@@ -103,18 +103,19 @@ def threshold(scores: list[tuple[float, int]]) -> float:
     return float(cuts[0] - 1 if at == 0 else (cuts[at - 1] + cuts[at]) / 2)
 
 
-def weigh(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, most: int = MOST_LABELS, buckets: int = BUCKETS) -> DataFrame:
-    """Documents with log_weight and, for the labelled rows used, _label and _fold; written to the shared folder."""
+def weigh(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, most: int = MOST_LABELS, buckets: int = BUCKETS) -> DataFrame:
+    """(row, id, log_weight, _label, _fold): row is a struct of all columns, or of those to ``carry``; _label and _fold are
+    set for the labelled rows used. Written to the shared folder."""
     known = F.broadcast(labelled(labels, id_col=id_col, most=most))  # of bounded size
-    marked = documents.join(known, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    ratios = log_ratios(marked, text_col=text_col, buckets=buckets)
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns if carry is None or c in carry)) if carry != [] else F.lit(None)
+    marked = documents.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("_id"), "left").drop("_id")
+    ratios = log_ratios(marked, buckets=buckets)
 
     @F.pandas_udf("double")
     def weight(texts: pd.Series) -> pd.Series:
         return pd.Series([float(ratios[ngrams(t, buckets)].sum()) for t in texts], dtype="float64")
 
-    weighed = marked.withColumn("log_weight", weight(F.col(text_col)))
-    return materialize(weighed if keep_text else weighed.drop(text_col), "weights")
+    return materialize(marked.withColumn("log_weight", weight(F.col("text"))).select(*(["row"] if carry != [] else []), "id", "log_weight", "_label", "_fold"), "weights")
 
 
 def gumbel_key(weight: Column, key: Column, seed: int = SEED) -> Column:
@@ -143,13 +144,13 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return top
 
 
-def resample(weighed: DataFrame, *, id_col: str = "doc_id", k: int | None = None, seed: int = SEED) -> DataFrame:
-    """The k documents with the largest keys; by default k is the number of weights that reach the labelled rows' threshold."""
-    keyed = weighed.withColumn("key", gumbel_key(F.col("log_weight"), F.col(id_col), seed))
+def resample(weighed: DataFrame, *, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The k rows of weigh() with the largest keys, with ``key``; by default k is the number of weights that reach the labelled rows' threshold."""
+    keyed = weighed.withColumn("key", gumbel_key(F.col("log_weight"), F.col("id"), seed))
     if k is None:
-        rows = weighed.filter("_label IS NOT NULL").select("log_weight", "_label", "_fold").collect()  # MOST_LABELS rows, and their copies
-        held = [(r.log_weight, r["_label"]) for r in rows if r["_fold"] == 1]
-        sample = held if any(label == 1 for _, label in held) else [(r.log_weight, r["_label"]) for r in rows]
+        used = weighed.filter("_label IS NOT NULL").groupBy("id", "_label", "_fold").agg(F.min("log_weight").alias("w")).collect()  # MOST_LABELS rows at most
+        held = [(r.w, r["_label"]) for r in used if r["_fold"] == 1]
+        sample = held if any(label == 1 for _, label in held) else [(r.w, r["_label"]) for r in used]
         k = weighed.filter(F.col("log_weight") >= F.lit(threshold(sample))).count()
     cut = kth_largest(keyed.select("key"), k)
     if cut is None:
@@ -159,5 +160,5 @@ def resample(weighed: DataFrame, *, id_col: str = "doc_id", k: int | None = None
 
 def op3_resampling(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    weighed = weigh(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False)
-    return resample(weighed).select("doc_id", "log_weight", (F.col("key") / 1e6).alias("key"))
+    weighed = weigh(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=[])
+    return resample(weighed).select(F.col("id").alias("doc_id"), "log_weight", (F.col("key") / 1e6).alias("key"))
