@@ -3,8 +3,8 @@
 Base kinds (email, ip, card, phone) follow fixed rules and always stay. Other kinds (secret, ssn, local_phone, name) are
 candidates from looser patterns. Three labelers vote on every candidate of any kind (for, against, or nothing): a strict
 pattern, a gazetteer of telling words beside or in the span, and the wider context. Expectation-maximisation on the
-counts of vote patterns estimates the labelers' reliabilities without labels and gives each pattern a probability; a
-logistic span classifier is then trained on these probabilities with features that the labelers don't use alone (kind,
+counts of vote patterns estimates the labelers' reliabilities without labels, for each kind by itself with the rates of all kinds together as
+a prior of ``PRIOR`` candidates, and gives each kind's patterns a probability; a logistic span classifier is then trained on these probabilities with features that the labelers don't use alone (kind,
 length and share of digits besides the votes). Candidates that it accepts become added spans.
 
 How offsets come about without a UDF: ``split`` and ``regexp_extract_all`` give the gaps and the matches of a pattern, and
@@ -17,7 +17,8 @@ texts); what reaches the driver are counts by (kind, votes, length class, digit
 whatever the corpus. A source or group of copies that holds many rows stays spread as it was read.
 
 Nulls and odd input: a null text is empty; a null id is kept; repeated rows each give a row; empty tables give an empty
-result (no model is trained, nothing is added); other columns are carried by ``find_spans`` and ignored by the query.
+result (no model is trained, nothing is added); other columns are carried by ``find_spans`` in one struct, ``row``, so that
+none can clash with its own, and are ignored by the query.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ PATTERNS = {
     "name": r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+|(?:" + "|".join(FIRST_NAMES) + r") [A-Z][a-z]+)(?: [A-Z][a-z]+)?\b",
 }
 BASE = ("email", "ip", "card", "phone")
+#: Candidates that the rates over all kinds count for where a kind's own rates are estimated.
+PRIOR = 20.0
 KINDS = tuple(PATTERNS)
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "phone": "+"}
@@ -107,8 +110,9 @@ SPAN = "array<struct<kind:int,start:bigint,end:bigint,v1:int,v2:int,v3:int,size:
 
 
 def find_candidates(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Adds ``candidates``: valid base spans, and candidates of the other kinds, with votes and features."""
-    out = documents.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    """(row, text, candidates): row is a struct of all columns but the text; valid base spans, and candidates of the other kinds, with votes and features."""
+    row = F.struct(*([F.col(f"`{c}`") for c in documents.columns if c != text_col] or [F.lit(0).alias("none")]))
+    out = documents.select(row.alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     for kind, pattern in PATTERNS.items():
         needed = F.instr("_t", NEEDS[kind]) > 0 if kind in NEEDS else F.col("_t").rlike("[0-9]") if kind in ("ip", "card", "ssn", "local_phone") else F.lit(True)
         out = out.withColumn(f"_m_{kind}", F.when(needed, F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -128,26 +132,41 @@ def find_candidates(documents: DataFrame, *, text_col: str = "text") -> DataFram
             return F.when(_valid(kind, x["m"]), F.struct(F.lit(i).alias("kind"), start.cast("bigint").alias("start"), (start + n).cast("bigint").alias("end"), v1.alias("v1"), v2.alias("v2"), v3.alias("v3"), size.alias("size"), F.least(F.floor(share * 4), F.lit(3)).cast("int").alias("digits")))
 
         spans.append(F.when(F.size(match) > 0, F.filter(F.zip_with(both, before, span), lambda s: s.isNotNull())).otherwise(F.array().cast(SPAN)))
-    return out.select(*documents.columns, F.concat(*spans).cast(SPAN).alias("candidates"))
+    return out.select("row", "text", F.concat(*spans).cast(SPAN).alias("candidates"))
 
 
-def fit_votes(counts: dict[tuple[int, int, int], float], rounds: int = 100) -> dict[tuple[int, int, int], float]:
-    """Probability that a candidate with these votes is personal data, by expectation-maximisation.
+VOTES = (-1, 0, 1)
+
+
+def fit_votes(counts: dict[tuple[int, int, int], float], rounds: int = 100, prior: tuple[float, list] | None = None) -> tuple[dict[tuple[int, int, int], float], tuple[float, list]]:
+    """Probability that a candidate with these votes is personal data, by expectation-maximisation, and the rates it rests on.
 
     Labelers are independent given the truth; each has a chance for every vote under either truth. The first guess trusts
-    the majority.
+    the majority. ``prior`` are rates that count like PRIOR candidates.
     """
-    values = (-1, 0, 1)
     guess = {p: 1 / (1 + math.exp(-1.5 * sum(p))) for p in counts}
+    rate, chance = prior or (0.5, [[{v: 1 / 3 for v in VOTES} for _ in range(2)] for _ in range(3)])
+    start_rate, start_chance, weight = rate, chance, PRIOR if prior else 3.0
     for _ in range(rounds):
         yes = sum(counts[p] * guess[p] for p in counts)
         no = sum(counts[p] * (1 - guess[p]) for p in counts)
-        prior = (yes + 1) / (yes + no + 2)
-        chance = [[{v: (sum(n * (g if truth else 1 - g) for p, n in counts.items() for g in [guess[p]] if p[j] == v) + 1) / ((yes if truth else no) + 3) for v in values} for truth in (False, True)] for j in range(3)]
+        rate = (yes + weight * start_rate) / (yes + no + weight)
+        chance = [[{v: (sum(n * (guess[p] if truth else 1 - guess[p]) for p, n in counts.items() if p[j] == v) + weight * start_chance[j][truth][v]) / ((yes if truth else no) + weight) for v in VOTES} for truth in (0, 1)] for j in range(3)]
         for p in counts:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(chance[j][True][p[j]] / chance[j][False][p[j]]) for j in range(3))
+            odds = math.log(rate / (1 - rate)) + sum(math.log(chance[j][1][p[j]] / chance[j][0][p[j]]) for j in range(3))
             guess[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    return guess
+    return guess, (rate, chance)
+
+
+def truths(rows: list[tuple]) -> dict[tuple[int, int, int, int], float]:
+    """Probability by kind and votes, of rows (kind, v1, v2, v3, size, digits, count): first over all kinds, then for each with that as its prior."""
+    by: dict[int, dict[tuple[int, int, int], float]] = {}
+    every: dict[tuple[int, int, int], float] = {}
+    for kind, a, b, c, _, _, n in rows:
+        for counts in (by.setdefault(kind, {}), every):
+            counts[a, b, c] = counts.get((a, b, c), 0.0) + n
+    _, prior = fit_votes(every)
+    return {(kind, *votes): g for kind, counts in by.items() for votes, g in fit_votes(counts, prior=prior)[0].items()}
 
 
 def features_of(kind: int, votes: tuple[int, int, int], size: int, digits: int) -> list[str]:
@@ -174,11 +193,8 @@ def train(candidates: DataFrame) -> dict[str, float]:
     x = candidates.select(F.explode("candidates").alias("c")).select("c.*")
     rows = x.groupBy("kind", "v1", "v2", "v3", "size", "digits").count().collect()  # of fixed size at most
     rows = sorted(tuple(r) for r in rows)
-    counts: dict[tuple[int, int, int], float] = {}
-    for _, *votes, _, _, n in rows:
-        counts[tuple(votes)] = counts.get(tuple(votes), 0.0) + n
-    truth = fit_votes(counts)
-    return fit_classifier([(features_of(kind, (a, b, c), size, digits), truth[a, b, c], float(n)) for kind, a, b, c, size, digits, n in rows])
+    truth = truths(rows)
+    return fit_classifier([(features_of(kind, (a, b, c), size, digits), truth[kind, a, b, c], float(n)) for kind, a, b, c, size, digits, n in rows])
 
 
 def _accepted(c: Column, weights: dict[str, float]) -> Column:
@@ -196,9 +212,9 @@ def _accepted(c: Column, weights: dict[str, float]) -> Column:
 
 
 def find_spans(documents: DataFrame, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds ``spans``: an array of (kind, start, end) by kind and start; kind is a place in KINDS."""
+    """(row, text, spans): row is a struct of the other columns, spans an array of (kind, start, end) by kind and start; kind is a place in KINDS."""
     found = find_candidates(documents, text_col=text_col)
-    found = materialize(found if keep_text else found.drop(text_col), "candidates")
+    found = materialize(found if keep_text else found.drop("text"), "candidates")
     weights = train(found)
     kept = F.filter("candidates", lambda c: _accepted(c, weights))
     plain = F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
@@ -214,11 +230,11 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts by base kind, the digest of base spans and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
-    return found.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(BASE)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(BASE)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Texts with each span, or run of overlapping ones, replaced by the name of its first kind in angle brackets."""
+def redact(found: DataFrame) -> DataFrame:
+    """(row, text): texts with each span, or run of overlapping ones, replaced by the name of its first kind in angle brackets."""
     by_place = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     empty = F.struct(F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>").alias("out"), F.lit(-1).cast("bigint").alias("till"))
     last = lambda a: F.element_at(a["out"], -1)
@@ -229,12 +245,12 @@ def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:
         return F.struct(F.when(s["start"] < a["till"], joined).otherwise(F.concat(a["out"], F.array(s))).alias("out"), F.greatest(a["till"], s["end"]).alias("till"))
 
     merged = F.aggregate(by_place, empty, merge, lambda a: a["out"])
-    text, name = F.col(text_col), lambda s: F.element_at(F.array(*(F.lit(f"<{k}>") for k in KINDS)), s["kind"] + 1)
+    text, name = F.col("text"), lambda s: F.element_at(F.array(*(F.lit(f"<{k}>") for k in KINDS)), s["kind"] + 1)
     out = found.withColumn("_s", F.when(F.size("spans") > 0, merged))
     till = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_s", i)["end"])
     parts = F.transform("_s", lambda s, i: F.concat(F.substring(text, (till(i) + 1).cast("int"), (s["start"] - till(i)).cast("int")), name(s)))
     rest = F.substring(text, (F.element_at("_s", -1)["end"] + 1).cast("int"), F.length(text))
-    return out.withColumn(text_col, F.when(F.size("spans") > 0, F.concat(F.concat_ws("", parts), rest)).otherwise(text)).drop("_s")
+    return out.select("row", F.when(F.size("spans") > 0, F.concat(F.concat_ws("", parts), rest)).otherwise(text).alias("text"))
 
 
 def op4_personal_data(spark, sf_dir: str) -> DataFrame:
