@@ -49,8 +49,7 @@ def _by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    weighed = resampling.weigh(_rows(docs), labels)
-    return _back(resampling.resample(weighed), docs)
+    return resampling.resample(resampling.weigh(docs, labels)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,8 +82,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleared = personal_data.redact(personal_data.find_spans(_rows(docs)))
-    out = _back(cleared, docs)
+    out = _back(personal_data.redact(personal_data.find_spans(docs)), docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
