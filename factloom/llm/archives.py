@@ -7,22 +7,28 @@ UUID of target, date, place and digest, so that a rerun gives the same), ISO dat
 types (warcinfo for the version block, response for HTTP, resource for the rest) and SHA-256 digests of block and payload.
 
 Flow: ARC files are read once for metadata; the response of each group of equal payloads is a minimum by digest; the
-revisits are joined back by archive path to the file contents, and each archive becomes one WARC file. Payload bytes are
-never shuffled uncompressed, and no group of equal payloads meets in one task. An archive is of bounded size
-(``ARCHIVE_BYTES``, or one record if that is longer), which bounds a task's memory.
+revisits are joined back by archive path to the file contents, and each archive becomes one WARC file. Where the revisits
+are within ``BROADCAST_BYTES`` by their own count they go to the files, which stay where they are read; beyond that both
+meet by path in tasks of about ``TASK_BYTES`` of compressed archives each. No group of equal payloads meets in one task. An archive written
+here is of bounded size (``ARCHIVE_BYTES``, or one record if that is longer), which bounds a task's memory.
 
-Nulls and odd input: a null payload is empty; a null URL becomes urn:missing and white space in a URL is escaped; a null
+Archives are bytes throughout: payloads may be of any type and encoding, files of any name, compressed by gzip (one or more
+members) or not.
+
+Nulls and odd input: a null payload is empty; a null URL becomes urn:missing and white space in a URL is escaped, as are
+bytes of a header line that aren't UTF-8; a null
 page_id stays null and ranks last among equal payloads. Of repeated rows the first is the response and the others revisit
 it. Empty tables give archives without records and an empty result. Other columns are ignored. A header line that can't
-be parsed, or a length beyond the archive's end, makes the reader go on at the next line that is a header.
+be parsed, or a length beyond the archive's end, makes the reader go on at the next line that is a header. A cut or damaged
+gzip member gives the records that can be read of it, and reading goes on at the next member.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import materialize, scratch_path
+from factloom.session import materialize, scratch_path, small_batches
 
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES, BROADCAST_BYTES, TASK_BYTES = 8 << 20, 16 << 20, 64 << 20
+#: Digits of a date or length in a header line; others than these aren't numbers there.
+DIGITS = re.compile("[0-9]{1,18}")
 #: Shortest payload that a revisit record may stand for.
 LEAST_REVISIT = 100
 #: Columns of a header line by version.
@@ -78,33 +86,81 @@ def http_parts(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
     return head + gap, payload, fields
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    at, version = 0, 1
+GZIP, PIECE = b"\x1f\x8b\x08", 1 << 18
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    """What an archive file holds: itself, or its gzip members laid end to end, with a cut after whatever can be read of a damaged one."""
+    if not data.startswith(GZIP):
+        return [data]
+    runs: list[list[bytes]] = [[]]
+    at = 0
+    while 0 <= at < len(data):
+        member, begin = zlib.decompressobj(31), at
+        try:
+            while not member.eof and at < len(data):
+                piece = data[at : at + PIECE]
+                runs[-1].append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
+            sound = member.eof
+        except zlib.error:
+            sound = False
+        if not sound:
+            runs.append([])
+        at = data.find(GZIP, at if sound else begin + 1)
+    return [b"".join(parts) for parts in runs if parts]
+
+
+def _header_text(line: bytes) -> str:
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return "".join(chr(b) if b < 128 else f"%{b:02X}" for b in line)
+
+
+def parse_arc(data: bytes, start: int = 0, version: int = 1) -> Iterator[ArcRecord]:
+    """Records of sound bytes; offsets count from ``start``."""
+    at = 0
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
-        line = data[at:end].decode("utf-8", "replace")
+        line = _header_text(data[at : min(end, at + (1 << 16))].removesuffix(b"\r"))
         found = None
         for v in (version, *(FIELDS.keys() - {version})) if line.startswith("filedesc://") else (version,):
             parts = line.rsplit(" ", len(FIELDS[v]) - 1)
-            if len(parts) == len(FIELDS[v]) and parts[-1].isdigit() and parts[2].isdigit() and end + 1 + int(parts[-1]) <= len(data):
+            if len(parts) == len(FIELDS[v]) and DIGITS.fullmatch(parts[-1]) and DIGITS.fullmatch(parts[2]) and end + 1 + int(parts[-1]) <= len(data):
                 found = dict(zip(FIELDS[v], parts, strict=True))
         if not found:  # a blank line between records, or damage
             at = end + 1
             continue
         stop = end + 1 + int(found["length"])
         block = data[end + 1 : stop]
-        if found["uri"].startswith("filedesc://") and block[:1].isdigit():
-            version = int(block[:1]) if int(block[:1]) in FIELDS else version
-        yield ArcRecord(at, found, block)
+        if found["uri"].startswith("filedesc://") and block[:1] in (b"1", b"2"):
+            version = int(block[:1])
+        yield ArcRecord(start + at, found, block)
         at = stop
 
 
+def records_of(content: bytes) -> Iterator[ArcRecord]:
+    """Records of an archive file, over damage."""
+    start, version = 0, 1
+    for part in unpacked(content):
+        for record in parse_arc(part, start, version):
+            if record.fields["uri"].startswith("filedesc://") and record.block[:1] in (b"1", b"2"):
+                version = int(record.block[:1])
+            yield record
+        start += len(part)
+
+
 def iso_date(digits: str) -> str:
-    d = (digits + "19700101000000"[len(digits) :])[:14]
+    d = (digits[:14] + "19700101000000"[len(digits) :])[:14]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch("-?[0-9]{1,19}", text) and -(2**63) <= int(text) < 2**63 else None
+
+
 def synthesise(record: ArcRecord) -> dict:
     """WARC type, identifiers, date and digests of an ARC record."""
     f, kind = record.fields, "resource"
@@ -115,7 +171,7 @@ def synthesise(record: ArcRecord) -> dict:
         kind, (head, payload, fields) = "response", http_parts(record.block)
     digest = hashlib.sha256(payload).hexdigest()
     name = f"{f['uri']} {f['date']} {record.offset} {digest} {fields.get('x-page-id', '')}"
-    return {"kind": kind, "id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "uri": f["uri"], "ip": f["ip"], "mime": f["mime"], "date": iso_date(f["date"]), "digest": digest, "head": head, "payload": payload, "page_id": int(fields["x-page-id"]) if "x-page-id" in fields else None}
+    return {"kind": kind, "id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "uri": f["uri"], "ip": f["ip"], "mime": f["mime"], "date": iso_date(f["date"]), "digest": digest, "head": head, "payload": payload, "page_id": _number(fields.get("x-page-id"))}
 
 
 def warc_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
@@ -126,20 +182,26 @@ def warc_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        stop = end + 4 + int(fields["Content-Length"])
-        yield fields, data[end + 4 : stop]
-        at = stop + 4
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        fields = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+        length = _number(fields.get("Content-Length"))
+        if length is None or length < 0 or end + 4 + length > len(data):  # damage
+            at += 7
+            continue
+        yield fields, data[end + 4 : end + 4 + length]
+        at = end + 8 + length
 
 
-def _texts(parts: list[bytes], cut: int) -> pa.RecordBatch:
-    """One archive as one row for the text writer, which ends it with its own separator of ``cut`` bytes."""
-    return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-cut]], pa.binary()).cast(pa.string())], ["value"])
+def _bytes(parts: list[bytes], cut: int) -> pa.RecordBatch:
+    """One archive as one row for the text writer, which ends it with its own separator of ``cut`` bytes and writes all
+    others as they are, whether or not they are a text."""
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-cut]], pa.binary()).view(pa.string())], ["value"])
 
 
 def write_arc(records: DataFrame, path: str) -> None:
-    """Archives of (page_id, url, payload text, 14-digit date), of alternate versions, one gzip file each."""
+    """Archives of (page_id, url, payload as text or bytes, 14-digit date), of alternate versions, one gzip file each."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, n = [], 0, 0
@@ -148,21 +210,21 @@ def write_arc(records: DataFrame, path: str) -> None:
                 version = 1 + n % 2
                 if not parts:
                     parts, size = [arc_start(version, f"part-{n}.arc", "20240101000000")], 0
-                block = http_block(page_id, (text or "").encode())
+                block = http_block(page_id, text.encode() if isinstance(text, str) else bytes(text or b""))
                 parts += [arc_header(version, clean_uri(url), date, "text/html", len(block), filename=f"part-{n}.arc", offset=size), block, b"\n"]
                 size += len(block)
                 if size >= ARCHIVE_BYTES:
-                    yield _texts(parts, 1)
+                    yield _bytes(parts, 1)
                     parts, n = [], n + 1
         if parts:
-            yield _texts(parts, 1)
+            yield _bytes(parts, 1)
 
     rows = records.select("page_id", "url", "payload", "date").mapInArrow(pack, "value string")
     rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(path)
 
 
 def _archives(spark, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
 def read_arc(spark, path: str) -> DataFrame:
@@ -170,16 +232,16 @@ def read_arc(spark, path: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, content in zip(*batch.columns, strict=True):
+            for at, content in zip(batch.column(0), batch.column(1), strict=True):
                 out: dict[str, list] = {k: [] for k in ("path", "offset", "kind", "page_id", "id", "uri", "date", "bytes", "digest")}
-                for r in parse_arc(gzip.decompress(content.as_py())):
+                for r in records_of(content.as_py()):
                     s = synthesise(r)
                     for k, v in (s | {"path": at.as_py(), "offset": r.offset, "bytes": len(s["payload"])}).items():
                         if k in out:
                             out[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("offset", "page_id", "bytes") else pa.string()) for k, v in out.items()], list(out))
 
-    return _archives(spark, path).mapInArrow(scan, "path string, offset long, kind string, page_id long, id string, uri string, date string, bytes long, digest string")
+    return _archives(spark, path).select("path", "content").mapInArrow(scan, "path string, offset long, kind string, page_id long, id string, uri string, date string, bytes long, digest string")
 
 
 def revisits(meta: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -194,14 +256,14 @@ def revisits(meta: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def convert(spark, source: str, target: str, least: int = LEAST_REVISIT) -> None:
     """Rewrite the ARC files under source as gzip WARC files under target."""
     meta = materialize(read_arc(spark, source), "arc-meta")
-    again = revisits(meta, least).groupBy("path").agg(F.collect_list("r").alias("again"))
+    again = materialize(revisits(meta, least).groupBy("path").agg(F.collect_list("r").alias("again")), "revisits")  # an archive's records at most
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, known in zip(*batch.columns, strict=True):
                 seen = {x["offset"]: x for x in known.as_py() or ()}
                 parts = []
-                for r in parse_arc(gzip.decompress(content.as_py())):
+                for r in records_of(content.as_py()):
                     s = synthesise(r)
                     fields = {"WARC-Record-ID": s["id"], "WARC-Date": s["date"]}
                     if s["kind"] == "warcinfo":
@@ -209,14 +271,21 @@ def convert(spark, source: str, target: str, least: int = LEAST_REVISIT) -> None
                         continue
                     fields |= {"WARC-Target-URI": s["uri"], "WARC-IP-Address": s["ip"], "WARC-Payload-Digest": f"sha256:{s['digest']}", "Content-Type": "application/http; msgtype=response" if s["kind"] == "response" else s["mime"]}
                     if x := seen.get(r.offset):
-                        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": x["id"], "WARC-Refers-To-Target-URI": x["uri"], "WARC-Refers-To-Date": x["date"]}
+                        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": x["id"], "WARC-Refers-To-Target-URI": x["uri"], "WARC-Refers-To-Date": x["date"], "X-Payload-Length": str(len(s["payload"]))}
                         parts.append(warc_record("revisit", fields, s["head"]))
                     else:
                         parts.append(warc_record(s["kind"], fields, r.block))
-                yield _texts(parts, 2)
+                yield _bytes(parts, 2)
 
-    pairs = _archives(spark, source).join(again, "path", "left").select("content", F.col("again"))
-    pairs.mapInArrow(rewrite, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").text(target)
+    archives = _archives(spark, source)
+    size = again.select(F.explode("again").alias("r")).agg(F.sum(F.length("r.id") + F.length("r.uri") + F.length("r.date") + 40)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        pairs = archives.join(F.broadcast(again), "path", "left")
+    else:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(archives.agg(F.sum("length")).first()[0]) // TASK_BYTES))
+        pairs = archives.repartition(tasks, "path").join(again.repartition(tasks, "path"), "path", "left")
+    with small_batches(spark, 8):
+        pairs.select("content", "again").mapInArrow(rewrite, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").text(target)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -226,16 +295,16 @@ def read_warc(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 out: dict[str, list] = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id")}
-                for fields, block in parse_warc(gzip.decompress(content.as_py())):
-                    kind = fields["WARC-Type"]
-                    if kind == "warcinfo":
+                for fields, block in (x for part in unpacked(content.as_py()) for x in parse_warc(part)):
+                    kind = fields.get("WARC-Type")
+                    if kind not in ("response", "revisit", "resource"):
                         continue
                     _, payload, own = http_parts(block) if kind != "resource" else (b"", block, {})
-                    out["page_id"].append(int(own["x-page-id"]) if "x-page-id" in own else None)
-                    out["payload_bytes"].append(int(own["content-length"]) if kind == "revisit" else len(payload))
-                    out["payload_digest"].append(fields["WARC-Payload-Digest"].removeprefix("sha256:") if kind == "revisit" else hashlib.sha256(payload).hexdigest())
+                    out["page_id"].append(_number(own.get("x-page-id")))
+                    out["payload_bytes"].append(_number(fields.get("X-Payload-Length", own.get("content-length"))) if kind == "revisit" else len(payload))
+                    out["payload_digest"].append(fields.get("WARC-Payload-Digest", "").removeprefix("sha256:") if kind == "revisit" else hashlib.sha256(payload).hexdigest())
                     out["record_type"].append(kind)
-                    out["record_id"].append(fields["WARC-Record-ID"])
+                    out["record_id"].append(fields.get("WARC-Record-ID"))
                     out["refers_to_id"].append(fields.get("WARC-Refers-To"))
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("page_id", "payload_bytes") else pa.string()) for k, v in out.items()], list(out))
 

@@ -20,6 +20,52 @@ def test_versions_and_damage():
     assert A.synthesise(A.ArcRecord(0, {"uri": "dns:a", "ip": "0", "date": "20240101000000", "mime": "text/dns"}, b"a 1 IN A 1.2.3.4"))["kind"] == "resource"
 
 
+def test_numbers_are_ascii_and_members_can_be_cut():
+    import gzip
+
+    block = A.http_block(1, b"payload")
+    record = lambda n: A.arc_header(1, f"http://a/{n}", "20240101000000", "text/html", len(block), filename="x", offset=0) + block + b"\n"
+    odd = "http://a 0.0.0.0 20240101000000 text/html ²\nhttp://a 0.0.0.0 ２０２４ text/html 5\nhttp://a 0.0.0.0 20240101000000 t 99999999999999999999999999\n".encode()
+    start = A.arc_start(1, "x.arc", "20240101000000")
+    assert [r.fields["uri"] for r in A.parse_arc(start + odd + record(1))][1:] == ["http://a/1"]
+    members = [gzip.compress(x) for x in (start, record(1), record(2), record(3))]
+    uris = lambda data: [r.fields["uri"] for r in A.records_of(data)][1:]
+    assert uris(b"".join(members)) == ["http://a/1", "http://a/2", "http://a/3"] == uris(start + record(1) + record(2) + record(3))
+    assert uris(members[0] + members[1] + members[2][:-20] + members[3]) == ["http://a/1", "http://a/3"]
+    assert uris(members[0] + members[1] + members[2][:30]) == ["http://a/1"]
+    broken = bytearray(members[2])
+    broken[14] ^= 0xFF
+    assert "http://a/3" in uris(members[0] + members[1] + bytes(broken) + members[3])
+    latin = "http://a/é 0.0.0.0 20240101000000 text/html 3\nabc\n".encode("latin-1")
+    assert [r.fields["uri"] for r in A.parse_arc(start + latin)][1:] == ["http://a/%E9"]
+    assert list(A.parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")) == [] == list(A.parse_warc(b"WARC/1.1\r\nno end"))
+
+
+def test_foreign_archives_of_any_bytes(spark, tmp_path, monkeypatch):
+    """Versions 1 and 2, Latin-1 and an image, compressed or not, under names of their own."""
+    import gzip
+    import hashlib
+
+    latin, image = "caf\u00e9 ".encode("latin-1") * 40, bytes(range(256)) * 4
+    payloads = {"http://l/": latin, "http://i/": image, "http://again/": image}
+    for version, name, pack in ((1, "IAH-2001.arc.gz", gzip.compress), (2, "crawl.arc", lambda x: x)):
+        data = A.arc_start(version, name, "20010101000000")
+        for uri, payload in payloads.items():
+            block = b"HTTP/1.0 200 OK\r\nContent-Type: x/y\r\n\r\n" + payload
+            data += A.arc_header(version, uri, "20010203040506", "x/y", len(block), filename=name, offset=0) + block + b"\n"
+        (tmp_path / name).write_bytes(pack(data))
+    (tmp_path / "empty.arc").write_bytes(b"")
+    for limit in (16 << 20, 0):  # revisits sent to the files, and both dealt by path
+        monkeypatch.setattr(A, "BROADCAST_BYTES", limit)
+        warc = scratch_path(spark, "warc")
+        A.convert(spark, str(tmp_path), warc)
+        out = A.resolve(A.read_warc(spark, warc)).collect()
+        digests = {u: hashlib.sha256(p).hexdigest() for u, p in payloads.items()}
+        assert sorted(r.payload_digest for r in out) == sorted([*digests.values()] * 2)
+        assert sorted(r.record_type for r in out) == ["response"] * 2 + ["revisit"] * 4
+        assert {r.payload_bytes for r in out} == {len(latin), len(image)}
+
+
 def test_against_sql(spark):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
