@@ -19,9 +19,13 @@ be split where a window is frequent. Only hits go on, with a slice of the docume
 document. Frequent passages make one hit per document and window; hits are reduced per (document, item, diagonal) before
 anything is measured.
 
+An item of fewer than 2 * WINDOW - 1 words need not hold a whole window of a document. It is compared whole and literally (case
+and signs between words aside): so few words with placeholders would meet unrelated sentences. Where a benchmark has such
+items, documents are also cut at every word into as many lengths as these have, eight at most.
+
 Nulls and odd input: null texts are empty and match nothing; a null id is kept apart by place; repeated documents each
-match; repeated items each match; items of fewer than 2 * WINDOW - 1 words match nothing. Empty tables give an empty
-result. Other columns are ignored.
+match; repeated items each match; items without words match nothing. Empty tables give an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -94,6 +98,27 @@ def _around(hits: DataFrame) -> DataFrame:
     return hits.withColumn("text", text).drop("tiles")
 
 
+def _short_items(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, broadcast_bytes: int) -> DataFrame | None:
+    """Documents that hold all words of an item of fewer than SHORTEST in a row; None if there are no such items."""
+    literal = lambda text: words_of(F.regexp_replace(marked(text), f"{MARK}[nupq]", ""))
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_tag"), F.col(item_col).alias("item"), literal(F.col(item_text_col)).alias("words"))
+    items = items.select("item_tag", "item", F.size("words").alias("n"), F.array_join("words", " ").alias("key")).filter(F.col("n").between(1, SHORTEST - 1))
+    sizes = items.groupBy("n").agg(F.sum(F.length("key") + 60).alias("bytes")).collect()  # SHORTEST - 1 rows at most
+    if not sizes:
+        return None
+    docs = documents.select(F.monotonically_increasing_id().alias("doc_tag"), F.col(id_col).alias("doc"), literal(F.col(text_col)).alias("words"))
+
+    def cuts(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("words", i + 1, n), " ").alias("key")))
+        return F.when(F.size("words") >= n, each).otherwise(F.array().cast("array<struct<n:int,at:int,key:string>>"))
+
+    runs = F.concat(*(cuts(r.n) for r in sizes))
+    met = docs.select("doc_tag", "doc", F.explode(runs).alias("r")).select("doc_tag", "doc", "r.*").join(F.broadcast(items) if sum(r["bytes"] for r in sizes) <= broadcast_bytes else items, ["n", "key"])
+    first = met.groupBy("doc_tag", "doc", "item_tag", "item", "n").agg(F.min("at").cast("long").alias("doc_start"))
+    zero = F.lit(0).cast("long")
+    return first.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("n").cast("long").alias("run"), F.col("n").cast("long").alias("item_words"), "doc_start", zero.alias("slots"), zero.alias("changed"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row per document and item: id, item, run (words), item_words, doc_start (word), slots, changed (slots of another value)."""
     known, tiles = _windows(benchmark, item_col, item_text_col), _tiles(documents, id_col, text_col)
@@ -151,7 +176,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     best = F.max(F.struct(F.col("run.n").alias("run"), (-F.col("run.best")).alias("start"), F.size("slots").cast("long").alias("slots"), changed.alias("changed"))).alias("best")
     out = found.groupBy("doc_tag", "doc", "item_tag", "item", "item_words").agg(best)
     long_of = lambda c, n: F.col(c).cast("long").alias(n)
-    return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), long_of("best.run", "run"), long_of("item_words", "item_words"), (-F.col("best.start")).cast("long").alias("doc_start"), F.col("best.slots").alias("slots"), F.col("best.changed").alias("changed"))
+    out = out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), long_of("best.run", "run"), long_of("item_words", "item_words"), (-F.col("best.start")).cast("long").alias("doc_start"), F.col("best.slots").alias("slots"), F.col("best.changed").alias("changed"))
+    short = _short_items(documents, benchmark, id_col, text_col, item_col, item_text_col, broadcast_bytes)
+    return out if short is None else out.unionByName(short)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

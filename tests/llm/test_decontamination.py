@@ -68,6 +68,42 @@ def test_tables_against_substrings(spark):
     assert {(r.doc_id, r.item_id) for r in D.op2_decontamination(spark, sf).collect()} == whole
 
 
+def test_verbatim_words_between_changed_slots(spark):
+    between = "and then walks along the long river to the old town where nobody knows him and the market opens early so he sells"
+    item, doc = (f"In the morning Bob buys {a} apples {between} {b} pears each day" for a, b in ((12, 12), (30, 31)))
+    (row,) = run(spark, [(1, doc)], [(1, item)]).collect()
+    assert row.run >= len(between.split()) and row.changed == 0
+
+
+def test_generated_questions(spark):
+    """Questions with slots: the same with other values are found, mixed-up values and other questions are not."""
+    import random
+
+    draw = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    names, items, docs, wanted = ["Ann", "Bert", "Carl", "Dora", "Emma", "Fritz", "Gina", "Hugo"], [], [], set()
+    for i in range(30):
+        words = [draw.choice(vocabulary) for _ in range(24)]
+        who, n = draw.sample(names, 2), draw.sample(range(10, 99), 2)
+        fill = lambda w, n, words=words: " ".join(["now", *words[:5], "see", w[0], *words[5:9], str(n[0]), *words[9:12], "see", w[1], *words[12:16], str(n[1]), *words[16:20], "see", w[0], str(n[0]), *words[20:]])
+        items.append((i, fill(who, n)))
+        other, m = draw.sample([x for x in names if x not in who], 2), draw.sample([x for x in range(100, 999)], 2)
+        pad = lambda k: " ".join(draw.choice(vocabulary) for _ in range(k))
+        docs.append((10 * i, f"{pad(i)} {fill(other, m)} {pad(3)}"))
+        wanted.add((10 * i, i))
+        docs.append((10 * i + 1, f"{pad(i)} {fill([other[0]] * 2, [m[0]] * 2)}"))  # two values become one
+        docs.append((10 * i + 2, pad(60)))
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items).collect()} == wanted
+
+
+def test_short_items_are_compared_whole(spark):
+    items = [(1, "Only six words here, right now"), (2, "Bob has 12"), (3, "one"), (4, " ".join("abcdefgh")), (None, "one two")]
+    texts = [(1, "x ONLY six\nwords here right now y"), (2, "only six words here right"), (3, "bob has 12 and bob has 13"), (4, "Ann has 12"), (5, "one two one"), (6, ""), (None, None), (7, "z a b c d e f g h")]
+    for size in (1 << 24, 0):
+        out = {(r.doc_id, r.item_id): (r.run, r.item_words, r.doc_start, r.changed) for r in run(spark, texts, items, broadcast_bytes=size).collect()}
+        assert out == {(1, 1): (6, 6, 1, 0), (3, 2): (3, 3, 0, 0), (5, 3): (1, 1, 0, 0), (5, None): (2, 2, 0, 0), (7, 4): (8, 8, 1, 0)}
+
+
 def test_odd_input(spark, odd, none):
     items = spark.createDataFrame([(1, ITEM), (None, ITEM), (1, ITEM), (2, None), (3, "")], "item_id long, text string")
     assert D.contaminated(odd, items).count() == 0 and D.contaminated(none, items).count() == 0 and D.contaminated(odd, items.limit(0)).count() == 0
