@@ -10,10 +10,13 @@ ln a = ln c - r (t - beta) - r, where r, c ~ Gamma(2, 1) and beta ~ U(0, 1) depe
 t = floor(ln w / r + beta). Two texts draw the same (k, t) with a chance equal to their similarity. ROWS samples make a band; texts that share a band
 are candidates: at 0.8 all but 0.08 % of pairs, and more for closer ones.
 
-Equal texts are one candidate with a membership. A band's bucket of at most ``CELL`` different texts yields pairs whose sketches
-agree in at least ``LEAST_AGREE`` of the samples, in the first band they share. A larger bucket is dealt to a triangle of cells,
-each of two blocks of about CELL / 2 texts; a cell computes all its similarities as one matrix product and yields a
-spanning forest of its links. So every candidate link counts, while rows out of any bucket grow no faster than its blocks.
+Equal texts are one candidate with a membership. Of two texts that share a band, those are compared whose sketches agree in
+at least ``LEAST_AGREE`` of the samples (at 0.8 all but 0.02 % of pairs). A band's bucket of at most ``CELL`` different texts
+yields such pairs, in the first band they share. A larger bucket is dealt to a triangle of cells, each of two blocks of
+about CELL / 2 texts, at first with sketches alone; only texts that agree with another one in a cell meet there again with
+their shingles, and a cell then computes all its similarities as one matrix product and yields a spanning forest of
+its links. So every candidate link counts, while rows out of any bucket grow no faster than its blocks, and a bucket of
+unlike texts that share a passage moves sketches and little more.
 Pairs are verified by exact weighted Jaccard similarity on the texts' shingles. Classes are connected components of
 verified links, found by distributed alternating stars.
 
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.anchors import mix
 from factloom.llm.components import connected
-from factloom.session import materialize, small_batches
+from factloom.session import drop, materialize, small_batches
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 10, 3
 DF_BUCKETS, CELL, LEAST_AGREE = 1 << 17, 256, 15
@@ -265,11 +268,27 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _agreeing(sketches: list[bytes]) -> np.ndarray:
+    """Which pairs agree in LEAST_AGREE samples."""
+    drawn = np.frombuffer(b"".join(sketches), "<u4").reshape(len(sketches), -1)
+    agree = np.zeros((len(drawn), len(drawn)), dtype=np.int16)
+    for column in drawn.T:
+        agree += column[:, None] == column[None, :]
+    return agree >= LEAST_AGREE
+
+
+def _cell_members(table: pa.Table) -> pa.Table:
+    """Of a cell (cell, node, sketch) the texts that agree with another."""
+    near = _agreeing(table.column("sketch").to_pylist())
+    np.fill_diagonal(near, False)
+    return table.filter(pa.array(near.any(axis=1)))
+
+
 def _cell_links(table: pa.Table, least: float) -> pa.Table:
-    """A spanning forest of the links within a cell (node, f)."""
+    """A spanning forest of the links within a cell (node, sketch, f)."""
     nodes = table.column("node").to_pylist()
     alike = similarities([_unpack(f) for f in table.column("f").to_pylist()])
-    a, b = np.nonzero(np.triu(alike >= least, 1))
+    a, b = np.nonzero(np.triu((alike >= least) & _agreeing(table.column("sketch").to_pylist()), 1))
     links = forest(a, b)
     return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.binary()), "b": pa.array([nodes[y] for _, y in links], pa.binary())})
 
@@ -288,12 +307,13 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     small = met.filter(F.col("n") <= cell).groupBy("band", "key").agg(F.collect_list(F.struct("node", "weight", "sketch")).alias("m"))
     pairs = materialize(small.select("band", "m").mapInArrow(lambda b: _close_pairs(b, least), "a binary, b binary"), "pairs")
-    large = met.filter(F.col("n") > cell).select("band", "key", "node", F.ceil(F.col("n") / (cell // 2)).cast("int").alias("blocks"))
+    large = met.filter(F.col("n") > cell).select("band", "key", "node", "sketch", F.ceil(F.col("n") / (cell // 2)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("node", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    cells = cells.select(F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "sketch")
+    cells = materialize(cells.groupBy("cell").applyInArrow(_cell_members, "cell long, node binary, sketch binary"), "cells")
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(cells.select("node")).distinct()
     noded = texts.select(node, "text")
     noded = noded.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= BROADCAST_ROWS else noded.join(wanted, "node", "left_semi")
     features = materialize(_features(noded.dropDuplicates(["node"]), idf), "features")
@@ -301,6 +321,7 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     linked = pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(lambda b: _verify(b, least), "a binary, b binary")
     crowd = cells.join(features, "node").groupBy("cell").applyInArrow(lambda t: _cell_links(t, least), "a binary, b binary")
     roots = connected(linked.unionByName(crowd))
+    drop(met, pairs, cells, features)  # connected() has written the links
 
     members = drawn.select("id", "t1", "t2", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), "t1", "t2")
