@@ -149,22 +149,45 @@ def assert_function(name: Column) -> Column:
     return F.when(F.size(parts) >= 4, parts.getItem(2))
 
 
+#: What is taken off a report's name, one after the other, each at most once. In the fifth step the return
+#: type ends at the first space, and begins after the last angle bracket before it.
+_PRINTABLE = (
+    (r"^[^$]*\$[^$]*\$", ""),  # kind and file
+    (r"\$.*$", ""),  # loop and index
+    (r"\([^!].*$", ""),  # argument types; (! belongs to a name
+    (r"^static ", ""),
+    (r"^virtual ", ""),
+    (r"^const ", ""),
+    (r"^((?:[^ ]*<)?)[^ <]* ", "$1"),
+    (r"^[^:(]*:([^:])", "$1"),  # a file in front, but not a class
+)
+
+
 def report_printable(name: Column) -> Column:
-    """The short form of a report's name: its function without file, arguments, qualifiers and return type."""
-    s = F.regexp_replace(name, r"^[^$]*\$[^$]*\$", "")
-    for pattern in (r"\$.*$", r"\(.*$", r"\b(static|virtual|inline|const|struct|class|union)\b *", r"^.*[ *&]", r"^[^:]*[^:]:(?!:)"):
-        s = F.regexp_replace(s, pattern, "")
-    return s
+    """The short form of a report's name kind$file$function$...: its function without file, arguments, qualifiers and return type."""
+    for pattern, rest in _PRINTABLE:
+        name = F.regexp_replace(name, pattern, rest)
+    return name
+
+
+def report_file(name: Column) -> Column:
+    """A file name for a report: its short form in letters, digits and underscores, and the hash of the whole name."""
+    return F.concat(F.regexp_replace(report_printable(name), "[^a-zA-Z0-9]", "_"), F.lit("_"), string_hash(name).cast("string"))
 
 
 def directory_nesting(path: Column) -> Column:
     return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
 
 
-def string_hash(s: Column, modulus: int = 1 << 31) -> Column:
-    """31 * h + code over the characters, modulo a power of two."""
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(modulus).cast("long")))
+def string_hash(s: Column) -> Column:
+    """31 * h + byte over the UTF-8 bytes in signed 64-bit arithmetic, and the absolute value of that."""
+    wide = lambda x: F.lit(x).cast("decimal(38,0)")
+    data = F.hex(F.encode(s, "UTF-8"))
+    count = (F.length(data) / 2).cast("int")
+    codes = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.conv(F.substring(data, 2 * i + 1, F.lit(2)), 16, 10).cast("decimal(38,0)"))).otherwise(F.array().cast("array<decimal(38,0)>"))
+    step = lambda h, c: F.pmod((h * 31 + c).cast("decimal(38,0)"), wide(2**64)).cast("decimal(38,0)")
+    h = F.aggregate(codes, wide(0), step)
+    return F.when(h >= wide(2**63), wide(2**64) - h).otherwise(h).cast("decimal(20,0)")
 
 
 _SUFFIX = r"[uUlL]*$"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.fixpoint import iterate, spread
@@ -25,6 +25,67 @@ def indirect_targets(sites: DataFrame, escapes: DataFrame, functions: DataFrame)
     return sites.select("pointer", "arity").distinct().join(known, ["pointer", "arity"])
 
 
+def all_targets(sites: DataFrame, flows: DataFrame, functions: DataFrame, virtual: DataFrame, *, depth: int = 100) -> DataFrame:
+    """(site, function, how) of calls without a name: through a pointer, functions from which a value flows to it and that take
+    as many arguments; on an object, what dispatch finds.
+
+    sites (site, pointer, arity, class, method) have a pointer or a class; flows (source, target) of values; functions
+    (function, arity); virtual (class, method, function). Flows are followed backward, at most ``depth`` of them.
+    """
+    back = once(flows.select(F.col("target").alias("node"), F.col("source").alias("to")).distinct(), "flows")
+    asked = sites.filter("pointer IS NOT NULL").select("pointer", F.col("pointer").alias("node")).distinct()
+    found = spread(asked.withColumn("moves", F.lit(0)), back, hops="moves", bound=depth).select("pointer", F.col("node").alias("function"))
+    direct = sites.filter("pointer IS NOT NULL").select("site", "pointer", "arity").join(found, "pointer").join(functions.select("function", "arity"), ["function", "arity"])
+    through = sites.filter("class IS NOT NULL").select("site", "class", "method").join(virtual, ["class", "method"])
+    return direct.select("site", "function", F.lit("pointer").alias("how")).unionByName(through.select("site", "function", F.lit("virtual").alias("how"))).distinct()
+
+
+def receiver_chains(bases: DataFrame, calls: DataFrame) -> DataFrame:
+    """(class, sub, chain): for every class at or below that of a call, the fields that lead from the base part of an object
+    back to the whole, the innermost first.
+
+    bases (class, base, field): field is where an object of class holds its base. A class reached over several ways has several chains.
+    """
+    over = once(bases.select("base", F.col("class").alias("next"), "field"), "bases")
+    loops = spread(over.select(F.col("base").alias("from"), F.col("next").alias("node")).distinct(), over.select(F.col("base").alias("node"), F.col("next").alias("to")))
+    if not loops.filter("from = node").isEmpty():
+        raise ValueError("a class is its own base")
+    start = calls.select("class", F.col("class").alias("sub"), F.lit("").alias("chain")).distinct()
+
+    def step(new: DataFrame) -> DataFrame:
+        met = new.join(over, new["sub"] == over["base"])
+        return met.select("class", F.col("next").alias("sub"), F.when(F.col("chain") == "", F.col("field")).otherwise(F.concat_ws(".", "chain", "field")).alias("chain"))
+
+    return iterate(start, step)
+
+
+def adjust_receiver(expression: Column, chain: Column) -> Column:
+    """An expression over ``this`` of a base class as one over the whole object: each field of the chain is taken back."""
+    back = F.aggregate(F.filter(F.split(chain, "\\."), lambda f: f != ""), F.lit("this"), lambda a, f: F.concat(F.lit("rfld("), a, F.lit(", "), f, F.lit(")")))
+    return F.regexp_replace(expression, r"\bthis\b", back)
+
+
+#: Steps beyond which a modified place isn't followed into callers.
+MOST_DEREFERENCES, MOST_TERMINATOR_DEREFERENCES, MOST_FIELDS, MOST_VALUES = 1, 2, 6, 2
+
+
+def updated_lvals(assigns: DataFrame) -> DataFrame:
+    """(function, lval, exact): what callers have to know of assigns (function, lval, value, terminator), and the values as text, if they are few.
+
+    Only places that start at an argument, a global, the receiver or the return value count, and not those behind an
+    index, a reverse field, a clobbered or an unknown value, more than one dereference (two for terminators) or six
+    fields. Exact values are given where there are two at most or all are constants.
+    """
+    lval = F.col("lval")
+    derefs = F.length(F.regexp_replace(lval, r"[^*]", ""))
+    rooted = lval.rlike(r"^\**\(?(?:arg[0-9]+|this|return|glob:\w+)\b")
+    shallow = derefs <= F.when(F.col("terminator"), MOST_TERMINATOR_DEREFERENCES).otherwise(MOST_DEREFERENCES)
+    plain = ~lval.rlike(r"\[|rfld\(|clobber\(|val\(") & (F.size(F.split(lval, "\\.")) - 1 <= MOST_FIELDS)
+    kept = assigns.filter(rooted & shallow & plain).groupBy("function", "lval").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    few = (F.size("values") <= MOST_VALUES) | F.forall("values", lambda v: v.rlike("^-?[0-9]+$"))
+    return kept.select("function", "lval", F.when(few, F.array_join("values", " | ")).alias("exact"))
+
+
 def virtual_targets(bases: DataFrame, methods: DataFrame, calls: DataFrame) -> DataFrame:
     """(class, method, function): what a virtual call on an object of static type class may run.
 

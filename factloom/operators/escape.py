@@ -43,6 +43,46 @@ def expand_struct(copies: DataFrame, fields: DataFrame) -> DataFrame:
     return every.join(parts.select("type").distinct(), "type", "left_anti").select("source", "target", "type")
 
 
+def place_of(expression: Column) -> Column:
+    """The place of an expression as text: indexes go, ``->`` and ``.`` are steps, a leading dereference or address is none;
+    null for what isn't a place (numbers, texts, calls, sums)."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(expression), r"^[*&(\s]+", ""), r"[)\s]+$", "")
+    steps = F.regexp_replace(F.regexp_replace(bare, r"\[[^\[\]]*\]", ""), r"->", ".")
+    return F.when(steps.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*$"), steps)
+
+
+def split_place(place: Column) -> tuple[Column, Column]:
+    """Base and chain of fields of a place as text."""
+    return F.substring_index(place, ".", 1), F.regexp_replace(F.regexp_replace(place, r"^[^.]*", ""), r"^\.", "")
+
+
+def accesses(edges: DataFrame) -> DataFrame:
+    """(site, kind, place, field): reads and writes of edges (site, target, value), one for each place that the accessed one matches.
+
+    field is the last step of the accessed place, if it has one.
+    """
+    each = [edges.select("site", F.lit(kind).alias("kind"), place_of(F.col(column)).alias("place")) for kind, column in (("read", "value"), ("write", "target"))]
+    met = each[0].unionByName(each[1]).filter("place IS NOT NULL")
+    base, chain = split_place(F.col("place"))
+    field = F.when(F.contains("place", F.lit(".")), F.substring_index("place", ".", -1))
+    return met.select("site", "kind", F.explode(matches(base, chain)).alias("m"), field.alias("field")).select("site", "kind", "m.place", "field").distinct()
+
+
+def base_class_edges(bases: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class, base) of bases that have a virtual method (class, method) of their own or inherited: what dispatch follows."""
+    over = once(bases.select(F.col("base").alias("node"), F.col("class").alias("to")).distinct(), "bases")
+    virtual = spread(methods.select(F.col("class").alias("node")).distinct(), over)
+    return bases.select("class", "base").distinct().join(virtual.select(F.col("node").alias("base")), "base", "left_semi").select("class", "base")
+
+
+def update_places(formulas: DataFrame) -> DataFrame:
+    """(formula, place): places of which an update may change a formula (formula, text), with all that they match."""
+    names = F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*(?:(?:->|\.)[A-Za-z_]\w*|\[[^\[\]]*\])*(?!\w*\()"), F.lit(0))
+    place = formulas.select("formula", F.explode(names).alias("x")).select("formula", place_of(F.col("x")).alias("place")).filter("place IS NOT NULL")
+    base, chain = split_place(F.col("place"))
+    return place.select("formula", F.explode(matches(base, chain)).alias("m")).select("formula", "m.place").distinct()
+
+
 def flows(edges: DataFrame, parameters: DataFrame) -> DataFrame:
     """(source, target, site, move) from edges (site, kind, target, value, callee, position): an assignment flows from value to
     target; an argument into its parameter (callee, position, name); what is returned out to the call's target."""
