@@ -181,7 +181,7 @@ def directory_nesting(path: Column) -> Column:
 
 def string_hash(s: Column) -> Column:
     """31 * h + byte over the UTF-8 bytes in signed 64-bit arithmetic, and the absolute value of that."""
-    wide = lambda x: F.lit(x).cast("decimal(38,0)")
+    wide = lambda x: F.lit(str(x)).cast("decimal(38,0)")
     data = F.hex(F.encode(s, "UTF-8"))
     count = (F.length(data) / 2).cast("int")
     codes = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.conv(F.substring(data, 2 * i + 1, F.lit(2)), 16, 10).cast("decimal(38,0)"))).otherwise(F.array().cast("array<decimal(38,0)>"))

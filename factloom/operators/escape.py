@@ -77,7 +77,9 @@ def base_class_edges(bases: DataFrame, methods: DataFrame) -> DataFrame:
 
 def update_places(formulas: DataFrame) -> DataFrame:
     """(formula, place): places of which an update may change a formula (formula, text), with all that they match."""
-    names = F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*(?:(?:->|\.)[A-Za-z_]\w*|\[[^\[\]]*\])*(?!\w*\()"), F.lit(0))
+    name = F.lit(r"[A-Za-z_]\w*(?:(?:->|\.)[A-Za-z_]\w*)*(?!\w*\()")
+    inside = F.array_join(F.regexp_extract_all("text", F.lit(r"\[([^\[\]]*)\]"), F.lit(1)), " , ")
+    names = F.regexp_extract_all(F.concat(F.regexp_replace("text", r"\[[^\[\]]*\]", ""), F.lit(" , "), inside), name, F.lit(0))
     place = formulas.select("formula", F.explode(names).alias("x")).select("formula", place_of(F.col("x")).alias("place")).filter("place IS NOT NULL")
     base, chain = split_place(F.col("place"))
     return place.select("formula", F.explode(matches(base, chain)).alias("m")).select("formula", "m.place").distinct()

@@ -265,8 +265,8 @@ def base_compares(b: Bit) -> list[tuple[str, Lin, Lin]]:
     if b.kind not in ir.OPS:
         return [x for part in b.args for x in base_compares(part)]
     x = b.args[0]
-    left = Lin(0, tuple((a, c) for a, c in x.terms if c > 0))
-    right = Lin(-x.const, tuple((a, -c) for a, c in x.terms if c < 0))
+    left = Lin(max(x.const, 0), tuple((a, c) for a, c in x.terms if c > 0))
+    right = Lin(max(-x.const, 0), tuple((a, -c) for a, c in x.terms if c < 0))
     return [(ir.OPS[b.kind], left, right)]
 
 
@@ -287,15 +287,19 @@ def function_invariants(block: Block, result: str = "result", solver: LinearSolv
     guard = block.guard[block.exit]
     guesses: list[tuple[str, Bit]] = [("fixed", ir.compare("==", r, ir.num(v.const))) for v, _ in values if not v.terms]
     guesses += [("copied", ir.compare("==", r, v)) for v, _ in values if v.terms and not any(a.kind != "var" for a in ir.atoms(v))]
-    guesses += [("sign", ir.compare(">=", r, ir.num(0))), ("nonzero", ir.compare("!=", r, ir.num(0)))]
     for _, x, y in (c for b in (guard, *(g for _, g in values)) for c in base_compares(b)):
         guesses += [("bounded", ir.compare(op, r, z)) for z in (x, y) for op in ("<=", ">=")]
+    guesses += [("sign", ir.compare(">=", r, ir.num(0))), ("nonzero", ir.compare("!=", r, ir.num(0)))]
     found: list[tuple[str, Bit]] = []
     for template, guess in dict.fromkeys(guesses):
         holds = all(solver.implied(ir.conjoin(guard, g, *(ir.substitute(b, lambda a, v=v: v if a == r.terms[0][0] else None) for _, b in found)), ir.substitute(guess, lambda a, v=v: v if a == r.terms[0][0] else None)) for v, g in values)
         implied = solver.implied(ir.conjoin(*(b for _, b in found)), guess) if found else solver.valid(guess)
         if holds and not implied:
             found.append((template, guess))
+    for x in list(found):  # what a later one has made needless
+        others = [b for y in found if y != x for b in (y[1],)]
+        if others and solver.implied(ir.conjoin(*others), x[1]):
+            found.remove(x)
     return found
 
 
@@ -710,3 +714,13 @@ def inferred_invariants(edges: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["function", "template", "bit"])
 
     return edges.groupBy("function").applyInPandas(solve, "function string, template string, bit string")
+
+
+def function_results(edges: DataFrame) -> DataFrame:
+    """(function, template, bit): what holds of every function's ``result``; edges as in EDGES."""
+
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], t, str(b)) for t, b in function_invariants(Block(_edges(frame)))]
+        return pd.DataFrame(rows, columns=["function", "template", "bit"])
+
+    return edges.groupBy("function").applyInPandas(solve, "function string, template string, bit string")

@@ -199,18 +199,38 @@ def normalize_file(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.normalize_file(raw, "/base/").alias("file"))
 
 
-@query("SELECT p_partkey, 'fn' || p_partkey AS function, CAST(NULL AS VARCHAR) AS short FROM part")
+NAMES = """names AS (SELECT p_partkey, (CASE p_size % 8 WHEN 0 THEN 'kind$a.c$foo' || p_partkey || '(int, char*)$loop$0' WHEN 1 THEN 'k$src/a.c$static int fn' || p_partkey || '(struct x *)$loop$1'
+  WHEN 2 THEN 'k$a.cc$void* operator new' || p_partkey || '(unsigned)$x$' || p_size WHEN 3 THEN 'k$a.c$a.c:foo' || p_partkey || '$func$0' WHEN 4 THEN 'k$a$virtual const List<a b> ns::fn' || p_partkey || '(!x)(int)$l$2'
+  WHEN 5 THEN 'k$' || p_name || '$static virtual T f' || p_partkey || '(' WHEN 6 THEN 'kind$file' || p_partkey ELSE 'k$a.c$const struct s *a::b' || p_partkey || 'é(T (*)(int))$func$1' END) AS name FROM part)"""
+
+
+def _names(spark, sf_dir: str) -> DataFrame:
+    key, put = F.col("p_partkey").cast("string"), lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    forms = (
+        put("kind$a.c$foo", key, "(int, char*)$loop$0"), put("k$src/a.c$static int fn", key, "(struct x *)$loop$1"), put("k$a.cc$void* operator new", key, "(unsigned)$x$", F.col("p_size").cast("string")), put("k$a.c$a.c:foo", key, "$func$0"),
+        put("k$a$virtual const List<a b> ns::fn", key, "(!x)(int)$l$2"), put("k$", F.col("p_name"), "$static virtual T f", key, "("), put("kind$file", key), put("k$a.c$const struct s *a::b", key, "é(T (*)(int))$func$1"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*forms), (F.col("p_size") % 8 + 1).cast("int")).alias("name"))
+
+
+@query(f"WITH {NAMES} SELECT p_partkey, CASE WHEN len(string_split(name, '$')) >= 4 THEN string_split(name, '$')[3] END AS function FROM names")
 def assert_function(spark, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey").cast("string")
-    name = F.concat(F.lit("write_overflow$a.c$fn"), key, F.lit("$loop$0"))
-    return table(spark, sf_dir, "part").select("p_partkey", S.assert_function(name).alias("function"), S.assert_function(F.concat(F.lit("kind$file"), key)).alias("short"))
+    return _names(spark, sf_dir).select("p_partkey", S.assert_function(F.col("name")).alias("function"))
 
 
-@query("SELECT p_partkey, 'fn' || p_partkey AS printable, 31 * (31 * 102 + 110) + ascii(CAST(p_partkey % 10 AS VARCHAR)) AS hash FROM part")
+# DuckDB's regexp_replace replaces the first match alone.
+PRINTABLE = "name"
+for _pattern, _rest in ((r"^[^$]*\\$[^$]*\\$", ""), (r"\\$.*$", ""), (r"\\([^!].*$", ""), ("^static ", ""), ("^virtual ", ""), ("^const ", ""), ("[^ <]* ", ""), (r"^[^:(]*:([^:])", r"\\1")):
+    PRINTABLE = f"regexp_replace({PRINTABLE}, '{_pattern}', '{_rest}')".replace("\\\\", "\\")
+PRINTABLE = f"""{NAMES}, bytes AS (SELECT p_partkey, name, list_transform(range(0, octet_length(encode(name))), lambda i: CAST(CAST('0x' || substr(hex(encode(name)), CAST(2 * i + 1 AS INT), 2) AS INT) AS HUGEINT)) AS codes FROM names),
+hashed AS (SELECT p_partkey, name, list_reduce(list_prepend(CAST(0 AS HUGEINT), codes), lambda h, c: (h * 31 + c) % 18446744073709551616) AS h FROM bytes),
+printed AS (SELECT p_partkey, {PRINTABLE} AS printable, CAST(CASE WHEN h >= 9223372036854775808 THEN 18446744073709551616 - h ELSE h END AS VARCHAR) AS hash FROM hashed)"""
+
+
+@query(f"WITH {PRINTABLE} SELECT p_partkey, printable, hash, regexp_replace(printable, '[^a-zA-Z0-9]', '_', 'g') || '_' || hash AS file FROM printed")
 def report_printable(spark, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey").cast("string")
-    name = F.concat(F.lit("write_overflow$src/a.c$static int fn"), key, F.lit("(struct x *)$loop$0"))
-    return table(spark, sf_dir, "part").select("p_partkey", S.report_printable(name).alias("printable"), S.string_hash(F.concat(F.lit("fn"), (F.col("p_partkey") % 10).cast("string"))).alias("hash"))
+    name = F.col("name")
+    return _names(spark, sf_dir).select("p_partkey", S.report_printable(name).alias("printable"), S.string_hash(name).cast("string").alias("hash"), S.report_file(name).alias("file"))
 
 
 @query("SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped, true AS same FROM pages")
@@ -808,3 +828,6 @@ def loop_invariants(spark, sf_dir: str) -> DataFrame:
     body = F.array(edge(0, 1, "assume", "i < n", F.lit(None).cast("string")), edge(1, 2, "assign", "i", F.lit("i + 1")), edge(2, 3, "assign", "j", step))
     edges = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("function"), F.explode(body).alias("e")).select("function", "e.*")
     return symbolic.inferred_invariants(edges).groupBy("function", "template").agg(F.count("*").cast("int").alias("n"))
+
+
+from factloom.plans import catalog_program  # noqa: E402, F401  its queries register themselves
