@@ -112,10 +112,10 @@ def callers_of(calls: DataFrame, changed: DataFrame) -> DataFrame:
     return calls.join(changed.select(F.col("node").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("node")).distinct()
 
 
-def modsets(calls: DataFrame, own: DataFrame) -> DataFrame:
-    """(function, lval): what a function modifies itself or through its callees, to the fixpoint."""
+def modsets(calls: DataFrame, own: DataFrame, *, passes: int | None = None) -> DataFrame:
+    """(function, lval): what a function modifies itself or through its callees, to the fixpoint or as far as so many calls deep."""
     over = once(calls.select(F.col("callee").alias("node"), F.col("caller").alias("to")).distinct(), "calls")
-    return spread(own.select("function", "lval"), over, "function")
+    return spread(own.select("function", "lval"), over, "function", bound=passes)
 
 
 def argument_modsets(calls: DataFrame, own: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Values of a key are a set in order of first insertion. A key may have no values:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,13 +20,15 @@ def keys(log: DataFrame) -> DataFrame:
 
 def insert_check(log: DataFrame) -> DataFrame:
     """For each insertion whether the value was there, its ordinal, and how many values the key has after it."""
-    first = entries(log).select("key", F.col("value").alias("v"), F.col("seq").alias("s"))
-    met = log.filter("value IS NOT NULL").join(first, "key").filter("s <= seq")
-    return met.groupBy("key", "seq", "value").agg(
-        (F.min(F.when(F.col("v") == F.col("value"), F.col("s"))) < F.col("seq")).alias("existed"),
-        F.count("*").alias("n_values"),
-        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("s", "v"))), lambda x: x["v"])).alias("all_values"),
-    )
+    rows = log.filter("value IS NOT NULL").select("key", "seq", "value").distinct()
+    new = F.col("seq") == F.min("seq").over(Window.partitionBy("key", "value"))
+    upto = Window.partitionBy("key").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct("seq", "value"))).over(upto))
+    return rows.withColumn("_new", new).select(
+        "key", "seq", "value", (~F.col("_new")).alias("existed"),
+        F.count(F.when(F.col("_new"), 1)).over(upto).alias("n_values"),
+        F.concat_ws(",", F.transform(firsts, lambda x: x["value"])).alias("all_values"),
+    )
 
 
 def lookup(log: DataFrame, asked: DataFrame) -> DataFrame:

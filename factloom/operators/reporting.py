@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.plans.order import neighbours
 
+#: The lines of a log that are read.
 FINISHED = r"^Finished: '([^']*)' FILE (\S+) REDUNDANT (\d+) ASSERTION (\d+) SUCCESS (\d+) REPORT (\d+)"
 REPORT = r"^REPORT (\S+) '([^']*)'"
 TERMINATED = r"terminated with code"
@@ -100,7 +101,7 @@ def report_traits(traits: DataFrame, *, include: list[str] = (), exclude: list[s
         rows = rows.filter(F.col("trait").rlike("|".join(f"(?:{p})" for p in include)))
     if drop_last:
         last = traits.agg(F.max("report").alias("last"))
-        rows = rows.join(F.broadcast(last)).filter("report <> last").drop("last")
+        rows = rows.join(F.broadcast(last)).filter(F.col("report") != F.col("last")).drop("last")  # one row
     return rows.distinct()
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import ir
 from factloom.functions.ir import FALSE, TRUE, Bit, Lin
-from factloom.functions.solver import LinearSolver
+from factloom.functions.solver import SOLVERS, LinearSolver, Recorded
 from factloom.operators.cfg import topological
 from factloom.session import materialize, once
 
@@ -385,6 +385,7 @@ class Search:
     def __init__(self, blocks: dict[str, Block], calls: dict[str, list[tuple[str, int, str]]], *, results: dict[str, list[tuple[str, str]]] | None = None, loops: dict[str, list[str]] | None = None, writers: dict[str, list[tuple[str, int, str]]] | None = None, depth: int = 3, solver: LinearSolver | None = None):
         self.blocks, self.calls, self.results, self.loops, self.writers = blocks, calls, results or {}, loops or {}, writers or {}
         self.depth, self.solver = depth, solver or LinearSolver()
+        self.failed: Bit | None = None  # what a report couldn't refute
 
     def check(self, function: str, point: int, bit: Bit, depth: int | None = None) -> tuple[str, list[str]]:
         """('success' or 'report', path): whether the formula holds at a point.
@@ -423,6 +424,7 @@ class Search:
             return "success", path
         ways = self.directions(bad) if depth > 0 else []
         if not ways:
+            self.failed = bad
             return "report", path
         way, a = ways[0]
         if way == "callee":
@@ -605,13 +607,19 @@ def block_assertions(edges: DataFrame) -> DataFrame:
 
 
 FACTS = "function string, kind string, name string, a string, b string"
-_STATE = "name string, kind string, point int, state string, function string, bad binary, path string"
+_STATE = "name string, kind string, point int, state string, function string, bad binary, path string, formula string, assigns string, queries string"
+_COLUMNS = [c.split(" ")[0] for c in _STATE.split(", ")]
+
+
+def mentions_bound(b: Bit, of: str) -> bool:
+    """Whether a formula speaks of a bound of the named buffer or type."""
+    return any(a.kind in ("ubound", "lbound") and of in ir.show(a) for a in ir.atoms(b))
 
 
 class _OneFunction(Search):
     """A search that stops where it would have to go to callers, and keeps the formula to ask there."""
 
-    def __init__(self, function: str, edges: list[tuple], facts: list[tuple], depth: int):
+    def __init__(self, function: str, edges: list[tuple], facts: list[tuple], depth: int, solver: str = "linear", explain: str = ""):
         results: dict[str, list] = defaultdict(list)
         loops: dict[str, list] = defaultdict(list)
         for kind, name, a, b in facts:
@@ -619,8 +627,10 @@ class _OneFunction(Search):
                 results[name].append((a, b))
             else:
                 loops[name].append(a)
-        super().__init__({function: Block(edges)}, {}, results=results, loops=loops, depth=depth)
+        inner = SOLVERS[solver]()
+        super().__init__({function: Block(edges)}, {}, results=results, loops=loops, depth=depth, solver=Recorded(inner, explain == "constraints") if explain else inner)
         self.asked: list[Bit] = []
+        self.explain = explain
 
     def _callers(self, function: str, bad: Bit, depth: int, path: list[str]) -> tuple[str, list[str]]:
         self.asked.append(bad)
@@ -628,18 +638,28 @@ class _OneFunction(Search):
 
     def rows(self, name: str, kind: str, point: int, function: str, at: int, bit: Bit, path: str) -> list[tuple]:
         """What becomes of an assertion here: success, a report, or formulas that no call may satisfy."""
-        self.asked = []
+        self.asked, self.failed = [], None
         verdict, found = self.check(function, at, bit)
         path = " < ".join(x for x in (path, *found) if x)
+        queries = None
+        if self.explain:
+            queries, self.solver.log = "\n".join(self.solver.log), []
+
+        def row(state: str, bad: Bit | None) -> tuple:
+            model = self.solver.model(bad) if self.explain and bad is not None else None
+            assigns = ", ".join(f"{ir.show(a)} = {v}" for a, v in sorted(model.items(), key=lambda x: ir.show(x[0]))) if model else None
+            return (name, kind, point, state, function, pickle.dumps(bad) if state == "ask" else None, path, str(bad) if self.explain and bad is not None else None, assigns, queries)
+
         if verdict == "report":
-            return [(name, kind, point, "report", function, None, path)]
-        if not self.asked:
-            return [(name, kind, point, "success", function, None, path)]
-        return [(name, kind, point, "ask", function, pickle.dumps(bad), path) for bad in dict.fromkeys(self.asked)]
+            return [row("report", self.failed)]
+        return [row("ask", bad) for bad in dict.fromkeys(self.asked)] or [row("success", None)]
+
 
+def check_functions(edges: DataFrame, facts: DataFrame | None = None, depth: int = 3, *, kinds: list[str] | None = None, bound: str | None = None, functions: list[str] | None = None, solver: str = "linear", explain: str = "") -> DataFrame:
+    """(function, kind, point, verdict, path, formula, assigns, queries) of every assertion of class check; edges as in EDGES.
 
-def check_functions(edges: DataFrame, facts: DataFrame | None = None, depth: int = 3) -> DataFrame:
-    """(function, kind, point, verdict, path) of every assertion of class check; edges as in EDGES.
+    ``kinds``, ``bound`` (a buffer or type whose bound is spoken of) and ``functions`` choose assertions. With ``explain`` a report has the
+    formula that couldn't be refuted, values that satisfy it and the solver's queries (``constraints``: and their side conditions).
 
     facts are as in FACTS: ``result`` (name of a callee, a value that it returns, a formula under which it does) and ``loop``
     (name, a formula that holds when it is left), for the functions that hold the call or loop. The search goes from callee to
@@ -658,22 +678,22 @@ def check_functions(edges: DataFrame, facts: DataFrame | None = None, depth: int
     def first(key: tuple, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(frame):
-            one = _OneFunction(key[0], _edges(frame), listed(known), depth)
+            one = _OneFunction(key[0], _edges(frame), listed(known), depth, solver, explain)
             block = one.blocks[key[0]]
-            for cls, kind, point, bit in classify(block, assertions(block)):
-                if cls == "check":
+            for cls, kind, point, bit in classify(block, assertions(block)) if functions is None or key[0] in functions else ():
+                if cls == "check" and (kinds is None or kind in kinds) and (bound is None or mentions_bound(bit, bound)):
                     rows += one.rows(key[0], kind, point, key[0], point, bit, "")
-        return pd.DataFrame(rows, columns=["name", "kind", "point", "state", "function", "bad", "path"])
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     def further(key: tuple, asked: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(asked) and len(frame):
             body, known = frame[frame.fact == 0], frame[frame.fact == 1]
-            one = _OneFunction(key[0], _edges(body), listed(known), depth)
+            one = _OneFunction(key[0], _edges(body), listed(known), depth, solver, explain)
             for r in asked.itertuples(index=False):
                 safe = actual_for_formal(ir.negate(pickle.loads(r.bad)), split_arguments(r.arguments))
                 rows += one.rows(r.name, r.kind, r.point, key[0], int(r.at), safe, r.path)
-        return pd.DataFrame(rows, columns=["name", "kind", "point", "state", "function", "bad", "path"])
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     state = edges.groupBy("function").cogroup(facts.groupBy("function")).applyInPandas(first, _STATE)
     state = materialize(state, "check-0", count=True)
@@ -681,19 +701,19 @@ def check_functions(edges: DataFrame, facts: DataFrame | None = None, depth: int
     body = body.unionByName(facts.select("function", F.lit(0).alias("source"), F.lit(0).alias("target"), "kind", "a", "b", "name", F.lit(1).alias("fact")))
     done = state.filter("state <> 'ask'")
     for n in range(depth):
-        asks = state.filter("state = 'ask'").select("name", "kind", "point", F.col("function").alias("callee"), "bad", "path")
+        asks = state.filter("state = 'ask'").select("name", "kind", "point", F.col("function").alias("callee"), "bad", "path", "formula", "assigns", "queries")
         if asks.isEmpty():
             break
         met = materialize(asks.join(calls, "callee", "left"), f"check-asks-{n}")
-        alone = met.filter("caller IS NULL").select("name", "kind", "point", F.lit("report").alias("state"), F.col("callee").alias("function"), "bad", "path")
+        alone = met.filter("caller IS NULL").select("name", "kind", "point", F.lit("report").alias("state"), F.col("callee").alias("function"), "bad", "path", "formula", "assigns", "queries")
         live = met.filter("caller IS NOT NULL").select(F.col("caller").alias("function"), "name", "kind", "point", "at", "arguments", "bad", "path")
         wanted = body.join(live.select("function").distinct(), "function", "left_semi")
         state = materialize(live.groupBy("function").cogroup(wanted.groupBy("function")).applyInPandas(further, _STATE), f"check-{n + 1}")
         done = done.unionByName(alone).unionByName(state.filter("state <> 'ask'"))
     left = state.filter("state = 'ask'").withColumn("state", F.lit("report"))  # beyond the depth
-    worst = F.min(F.struct(F.when(F.col("state") == "report", 0).otherwise(1).alias("rank"), "path")).alias("w")
+    worst = F.min(F.struct(F.when(F.col("state") == "report", 0).otherwise(1).alias("rank"), "path", "formula", "assigns", "queries")).alias("w")
     out = done.unionByName(left).groupBy("name", "kind", "point").agg(worst)
-    return out.select(F.col("name").alias("function"), "kind", "point", F.when(F.col("w.rank") == 0, "report").otherwise("success").alias("verdict"), F.col("w.path").alias("path"))
+    return out.select(F.col("name").alias("function"), "kind", "point", F.when(F.col("w.rank") == 0, "report").otherwise("success").alias("verdict"), "w.path", "w.formula", "w.assigns", "w.queries")
 
 
 def check_reports(edges: DataFrame, component: str = "component", depth: int = 3) -> DataFrame:
@@ -724,3 +744,15 @@ def function_results(edges: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["function", "template", "bit"])
 
     return edges.groupBy("function").applyInPandas(solve, "function string, template string, bit string")
+
+
+def sufficient_conditions(edges: DataFrame) -> DataFrame:
+    """(function, kind, point, sufficient): for assertions of class check, conditions over what a function was given that suffice."""
+
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        block = Block(_edges(frame))
+        search = Search({key[0]: block}, {})
+        rows = [(key[0], kind, point, " or ".join(map(str, search.conditions(key[0], point, bit)))) for cls, kind, point, bit in classify(block, assertions(block)) if cls == "check"]
+        return pd.DataFrame(rows, columns=["function", "kind", "point", "sufficient"])
+
+    return edges.groupBy("function").applyInPandas(solve, "function string, kind string, point int, sufficient string")

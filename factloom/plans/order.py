@@ -32,3 +32,13 @@ def neighbours(df: DataFrame, order: list[str], value: str) -> DataFrame:
     edges = edges.select("_pid", F.lag("_last._value").over(pids).alias("_p"), F.lead("_first._value").over(pids).alias("_n"))
     out = dealt.withColumn("_lag", F.lag(value).over(line)).withColumn("_lead", F.lead(value).over(line)).join(F.broadcast(edges), "_pid")
     return out.withColumn("previous", F.coalesce("_lag", "_p")).withColumn("next", F.coalesce("_lead", "_n")).drop("_pid", "_lag", "_lead", "_p", "_n")
+
+
+def carried(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the last value that isn't null up to each row in the whole order. Ranges carry theirs to the next one."""
+    dealt = ranged(df, order)
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_value")))).alias("_last")
+    ends = dealt.groupBy("_pid").agg(last)  # a row per range
+    before = F.last("_last._value", ignorenulls=True).over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("_own", own).join(F.broadcast(ends.select("_pid", before.alias("_before"))), "_pid").withColumn(name, F.coalesce("_own", "_before")).drop("_pid", "_own", "_before")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.plans.order import carried
+
 LINE_MARK = r'^# (\d+) "([^"]*)"'
 
 
@@ -34,10 +36,11 @@ def parse_worklist(lines: DataFrame) -> DataFrame:
     If the first header is #new, what follows #old is left out.
     """
     head = F.startswith("line", F.lit("#"))
-    heads = lines.filter(head).select("line_no", "line")
-    order = Window.orderBy("line_no")  # over headers only
-    heads = heads.select((F.row_number().over(order) - 1).alias("stage"), F.col("line").alias("header"), F.col("line_no").alias("first"), F.lead("line_no").over(order).alias("past"), F.first("line").over(order).alias("opening"))
-    rows = lines.filter(~head & F.col("line").contains("$")).join(F.broadcast(heads), (F.col("line_no") > F.col("first")) & (F.col("past").isNull() | (F.col("line_no") < F.col("past"))))
+    heads = lines.filter(head).select(F.col("line_no").alias("first"), F.col("line").alias("header"))
+    order = Window.orderBy("first")  # over headers only, which name stages
+    heads = heads.select((F.row_number().over(order) - 1).alias("stage"), "header", "first", F.first("header").over(order).alias("opening"))
+    under = carried(lines.withColumn("_head", F.when(head, F.col("line_no"))), ["line_no"], "_head", "first")
+    rows = under.filter(~head & F.col("line").contains("$")).join(heads, "first")
     rows = rows.filter(~((F.col("opening") == "#new") & (F.col("header") == "#old")))
     return rows.select("stage", "header", F.split("line", "\\$").getItem(0).alias("file"), F.regexp_extract("line", r"^[^$]*\$(.*)$", 1).alias("function"))
 
