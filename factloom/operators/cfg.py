@@ -88,6 +88,62 @@ def loops_of(edges: list[tuple[int, int]], entry: int) -> tuple[list[tuple[int,
     raise ValueError("loops stay irreducible")
 
 
+def loop_graphs(edges: list[tuple[int, int]], entry: int) -> tuple[list[tuple[str, int, int, str]], list[tuple[str, int, int]]]:
+    """The acyclic graphs of a function and of each of its loops: (graph, source, target, kind), and (graph, copy, original).
+
+    Loops are taken out from the inside to the outside. A loop's graph has the edges of its body, with those back to the head
+    led to a point of its own, the end. Where the loop was, an edge of kind ``loop`` leads from the head to a copy of it, from
+    which copies of the body's points lead out: the last time round, left before its end. These copies have the same code
+    as points of the loop. Graphs are named by the way from the function inward: ``func``, ``func/loop#1``, ``func/loop#1/loop#0``.
+    """
+    loops, now, _ = loops_of(edges, entry)
+    now = {(a, b, "edge") for a, b in now}
+    fresh = max((max(a, b) for a, b, _ in now), default=entry) + 1
+    taken: list[tuple[int, set, list]] = []
+    copies: list[tuple[int, int, int]] = []
+    for n, (head, _) in enumerate(loops):
+        succ = _succ(now)
+        free = _reach(succ, entry, avoid=head)
+        body, todo = {head}, [a for a, b, _ in now if b == head and a not in free]  # edges back come from what the head dominates
+        pred = defaultdict(list)
+        for a, b, _ in now:
+            pred[b].append(a)
+        while todo:
+            x = todo.pop()
+            if x not in body and x not in free:
+                body.add(x)
+                todo.extend(pred[x])
+        inner = {(a, b, k) for a, b, k in now if a in body and b in body}
+        back = {(a, b, k) for a, b, k in inner if b == head}
+        end, fresh = fresh, fresh + 1
+        taken.append((head, body, sorted({(a, end if b == head else b, k) for a, b, k in inner})))
+        out = {(a, b, k) for a, b, k in now if a in body and b not in body}
+        onward = inner - back
+        leaves = {a for a, _, _ in out}
+        alive = {x for x in _reach(_succ(onward), head) if leaves & _reach(_succ(onward), x)} | {head}
+        new = {}
+        for x in [head, *sorted(alive - {head})]:
+            new[x], fresh = fresh, fresh + 1
+            copies.append((n, new[x], x))
+        now = {e for e in now if e[0] not in body}
+        now |= {(head, new[head], "loop")} | {(new[a], new[b], k) for a, b, k in onward if a in alive and b in alive} | {(new[a], b, k) for a, b, k in out if a in alive}
+    name = {}
+    for n in reversed(range(len(loops))):
+        outer = next((m for m in range(n + 1, len(loops)) if loops[n][0] in taken[m][1]), None)
+        name[n] = f"{'func' if outer is None else name[outer]}/loop#{n}"
+    rows = [("func", a, b, k) for a, b, k in sorted(now)]
+    for n, (_, _, inside) in enumerate(taken):
+        rows += [(name[n], a, b, k) for a, b, k in inside]
+    return rows, [(name[n], copy, original) for n, copy, original in copies]
+
+
+def _succ(edges) -> dict:
+    out = defaultdict(list)
+    for a, b, *_ in edges:
+        out[a].append(b)
+    return out
+
+
 def topological(edges: list[tuple[int, int]], points: list[int], line: dict[int, int]) -> list[int]:
     """An order of points after all that lead to them; of those that are ready the one with the smallest line comes first."""
     import heapq
@@ -131,6 +187,20 @@ def split_loops(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return edges.select("function", "source", "target").groupBy("function").cogroup(entries.select("function", "entry").groupBy("function")).applyInPandas(solve, "function string, loop string, head long, size long, depth long, parent string, copied long")
 
 
+def split_graphs(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(function, graph, source, target, kind) as loop_graphs() gives them; of kind ``same`` are the points copied from a loop,
+    with the copy as source and the original as target."""
+
+    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            graphs, copies = loop_graphs(list(zip(left.source.tolist(), left.target.tolist(), strict=True)), int(right.entry.iloc[0]))
+            rows = [(key[0], *r) for r in graphs] + [(key[0], g, a, b, "same") for g, a, b in copies]
+        return pd.DataFrame(rows, columns=["function", "graph", "source", "target", "kind"])
+
+    return edges.select("function", "source", "target").groupBy("function").cogroup(entries.select("function", "entry").groupBy("function")).applyInPandas(solve, "function string, graph string, source long, target long, kind string")
+
+
 def topological_order(edges: DataFrame, points: DataFrame) -> DataFrame:
     """(function, point, place) of acyclic functions; points (function, point, line)."""
 

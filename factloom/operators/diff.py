@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,52 @@ def current_only(facts: DataFrame, versions: DataFrame) -> DataFrame:
 def intern(objects: DataFrame, columns: list[str]) -> DataFrame:
     """Different objects with an id from their content."""
     return objects.select(*columns).distinct().withColumn("id", F.sha2(F.to_json(F.struct(*columns)), 256))
+
+
+def routed(rows: DataFrame, tables: list[str]) -> dict[str, DataFrame]:
+    """The rows (tag, …) of each table, every one once; rows of one batch may be for several."""
+    return {t: rows.filter(F.col("tag") == t).drop("tag").distinct() for t in tables}
+
+
+def deferred(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows that a round writes for the next one; a key that was written twice is an error when they are read."""
+    n = F.count("*").over(Window.partitionBy(*key))
+    checked = F.when(n > 1, F.raise_error(F.concat_ws(" ", F.lit("written twice:"), *(F.col(k).cast("string") for k in key))).cast("boolean")).otherwise(True)
+    return rows.withColumn("_once", checked).filter("_once").drop("_once")
+
+
+def retired(old: DataFrame, new: DataFrame, owner: str, key: list[str]) -> DataFrame:
+    """Rows of old whose owner was written again without them: they move to the removed ones."""
+    return old.join(new.select(owner).distinct(), owner, "left_semi").join(new.select(key), key, "left_anti")
+
+
+def pending(*batches: DataFrame) -> DataFrame:
+    """The rows of several batches that weren't sent yet, every one once."""
+    out = batches[0]
+    for b in batches[1:]:
+        out = out.unionByName(b)
+    return out.distinct()
+
+
+def declarations(roots: DataFrame, uses: DataFrame) -> DataFrame:
+    """(name, place): everything that roots (node) use, directly or not, with a place after whatever it uses itself.
+
+    uses (src, dst): src needs the declaration of dst. Raises where names need each other.
+    """
+    from factloom.operators import graph
+
+    needed = graph.reach(uses, roots)
+    inside = uses.join(needed.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+    turned = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    leaves = needed.join(inside.select(F.col("src").alias("node")), "node", "left_anti")
+    return graph.levels(turned, leaves).select(F.col("node").alias("name"), F.col("level").alias("place"))
+
+
+def value_order(kind: str = "kind") -> list[Column]:
+    """Order of modified values: by place, then by kind, none first."""
+    return [F.col("lval").asc(), F.col(kind).asc_nulls_first()]
+
+
+def assign_order() -> list[Column]:
+    """Order of guarded assignments: by target, value and guard."""
+    return [F.col("left").asc(), F.col("right").asc(), F.col("guard").asc()]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.plans.order import numbered
+
 
 def replace(log: DataFrame) -> DataFrame:
     """(key, value): the last write of each key."""
@@ -42,6 +47,36 @@ def all_keys(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.min("seq").alias("seq"))
 
 
+def key_at(log: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, key): the key that was inserted as the n-th, from 0; places (place). None beyond the last."""
+    found = numbered(all_keys(log), ["seq", "key"], "_n").select((F.col("_n") - 1).alias("place"), "key")
+    return places.select("place").join(found, "place", "left").select("place", "key")
+
+
+def inflated(value: Column) -> Column:
+    """Bytes of a stored value: what it is compressed from, or itself where it isn't compressed."""
+
+    @F.pandas_udf("binary")
+    def inflate(values: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None or v[:1] != b"\x78":
+                return v
+            try:
+                return zlib.decompress(v)
+            except zlib.error:
+                return v
+
+        return values.map(one)
+
+    return inflate(value)
+
+
+def by_tag(rows: DataFrame, kinds: dict[int, str]) -> DataFrame:
+    """rows (tag, …) with ``kind`` by the tag; a tag that isn't known is an error."""
+    known = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    return rows.withColumn("kind", F.coalesce(F.try_element_at(known, F.col("tag")), F.raise_error(F.concat(F.lit("unknown tag "), F.col("tag").cast("string"))).cast("string")))
+
+
 def clear(store: DataFrame) -> DataFrame:
     return store.limit(0)
 

@@ -273,3 +273,74 @@ def function_invariants(spark, sf_dir: str) -> DataFrame:
     """A constant, and the larger of the argument and a constant."""
     edges = _program(spark, sf_dir, {"c{i}": [(0, 1, "assign", "result", "{k}")], "m{i}": [(0, 1, "assume", "arg0 < {k}", None), (0, 2, "assume", "arg0 >= {k}", None), (1, 3, "assign", "result", "{k}"), (2, 3, "assign", "result", "arg0")]})
     return symbolic.function_results(edges)
+
+
+# --- loops as graphs, stored rows
+
+
+@query("""WITH c AS (SELECT 'f' || conv_id AS function, max(turn) AS n FROM conversations GROUP BY conv_id HAVING max(turn) >= 2)
+SELECT function, 'func' AS graph, 0 AS source, 1 AS target, 'edge' AS kind FROM c UNION ALL SELECT function, 'func', 1, 100002, 'loop' FROM c UNION ALL SELECT function, 'func', 100002, 100000, 'edge' FROM c
+UNION ALL SELECT function, 'func/loop#0', t, t + 1, 'edge' FROM c, range(1, 200) AS r(t) WHERE t < n UNION ALL SELECT function, 'func/loop#0', n, 100001, 'edge' FROM c UNION ALL SELECT function, 'func/loop#0', 100002, 1, 'same' FROM c""")
+def loop_graphs(spark, sf_dir: str) -> DataFrame:
+    """A loop over the turns of each conversation, left at its head."""
+    last = table(spark, sf_dir, "conversations").groupBy(put("f", F.col("conv_id")).alias("function")).agg(F.max("turn").alias("n")).filter("n >= 2")
+    edge = lambda a, b: last.select("function", a.cast("long").alias("source"), b.cast("long").alias("target"))
+    line = last.select("function", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("source")).withColumn("target", F.col("source") + 1)
+    edges = line.unionByName(edge(F.col("n"), F.lit(1))).unionByName(edge(F.lit(1), F.lit(100_000)))
+    from factloom.operators import cfg
+
+    return cfg.split_graphs(edges, last.select("function", F.lit(0).alias("entry")))
+
+
+@query("SELECT place, key FROM (SELECT row_number() OVER (ORDER BY min(event_id)) - 1 AS place, CAST(user_id AS VARCHAR) AS key FROM events GROUP BY user_id)")
+def kv_key_at(spark, sf_dir: str) -> DataFrame:
+    from factloom.operators import store
+    from factloom.plans.tables import kv_log
+
+    log = kv_log(spark, sf_dir)
+    return store.key_at(log, spark.range(log.select("key").distinct().count()).select(F.col("id").alias("place")))
+
+
+@query("SELECT doc_id AS key, sha256(text) AS digest FROM documents")
+def kv_inflated(spark, sf_dir: str) -> DataFrame:
+    """Texts that are stored compressed by turns."""
+    import zlib
+
+    from factloom.operators import store
+
+    @F.pandas_udf("binary")
+    def stored(key: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(t.encode()) if k % 2 else t.encode() for k, t in zip(key, text, strict=True)])
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("key"), F.sha2(store.inflated(stored("doc_id", "text")), 256).alias("digest"))
+
+
+@query("SELECT DISTINCT 'click' AS tag, user_id FROM events WHERE event_type = 'click' UNION ALL SELECT DISTINCT 'view', user_id FROM events WHERE event_type = 'view'")
+def routed_rows(spark, sf_dir: str) -> DataFrame:
+    from factloom.operators import diff
+
+    found = diff.routed(table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), "user_id"), ["click", "view"])
+    return diff.deferred(diff.pending(*(df.withColumn("tag", F.lit(t)) for t, df in found.items())), ["tag", "user_id"]).select("tag", "user_id")
+
+
+@query("""SELECT DISTINCT l_orderkey AS owner, l_partkey AS name FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'A')
+AND (l_orderkey, l_partkey) NOT IN (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_returnflag <> 'A')""")
+def retired_annotations(spark, sf_dir: str) -> DataFrame:
+    from factloom.operators import diff
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("name"), "l_returnflag")
+    return diff.retired(rows.filter("l_returnflag = 'A'").select("owner", "name"), rows.filter("l_returnflag <> 'A'").select("owner", "name"), "owner", ["owner", "name"]).distinct().select("owner", "name")
+
+
+@query("""SELECT 'C' || c_custkey AS name, 0 AS place FROM customer WHERE c_acctbal < 0 UNION ALL SELECT DISTINCT 'N' || c_nationkey, 1 FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT DISTINCT 'R' || n_regionkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0 UNION ALL SELECT DISTINCT 'World', 3 FROM customer WHERE c_acctbal < 0""")
+def declaration_order(spark, sf_dir: str) -> DataFrame:
+    """What the world's regions, nations and customers need of each other, the customers first."""
+    from factloom.operators import diff
+
+    customer, nation = table(spark, sf_dir, "customer").filter("c_acctbal < 0"), table(spark, sf_dir, "nation")
+    world, r, n, c = F.lit("World"), put("R", F.col("n_regionkey")), put("N", F.col("n_nationkey")), put("C", F.col("c_custkey"))
+    both = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    uses = both.select(world.alias("src"), r.alias("dst")).unionByName(both.select(r.alias("src"), n.alias("dst"))).unionByName(both.select(n.alias("src"), c.alias("dst"))).distinct()
+    return diff.declarations(uses.filter("src = 'World'").select(F.col("src").alias("node")).distinct(), uses)

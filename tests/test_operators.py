@@ -237,3 +237,32 @@ def test_contexts_forget_the_oldest_site(spark):
     found = {r.target: r.context for r in graph.context_closure(edges, nodes(spark, ["n0"]), max_context=2).collect()}
     assert found["n6"] == "4/5" and found["n8"] == "" and found["n12"] == ""
     assert graph.context_closure(edges.unionByName(spark.createDataFrame([("n3", "n0", "9", "call")], edges.schema)), nodes(spark, ["n0"]), max_context=2).filter("target = 'n12'").count() >= 1
+
+
+def test_rows_of_a_round_are_written_once(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "key string, v int")
+    with pytest.raises(PySparkException):
+        diff.deferred(rows, ["key"]).collect()
+    assert diff.deferred(rows.limit(1), ["key"]).count() == 1
+    with pytest.raises(PySparkException):
+        store.by_tag(spark.createDataFrame([(9,)], "tag int"), {1: "cfg"}).collect()
+    assert store.by_tag(spark.createDataFrame([(1,)], "tag int"), {1: "cfg"}).first().kind == "cfg"
+
+
+def test_values_are_carried_over_ranges(spark):
+    from factloom.plans.order import carried
+
+    rows = [(i, i if i % 700 == 5 else None) for i in range(5_000)]
+    out = carried(spark.createDataFrame(rows, "at long, mark long"), ["at"], "mark", "last")
+    assert all(r["last"] == (None if r["at"] < 5 else (r["at"] - 5) // 700 * 700 + 5) for r in out.collect())
+
+
+def test_places_and_nested_loops(spark):
+    from factloom.operators.cfg import loop_graphs
+
+    column = lambda x: F.lit(x)
+    out = spark.range(1).select(*(escape.place_of(column(t)).alias(f"c{i}") for i, t in enumerate(("*p->next[3].val", "&x", "f(y)", "3 + y", "(*a).b")))).first()
+    assert tuple(out) == ("p.next.val", "x", None, None, None) or tuple(out)[:4] == ("p.next.val", "x", None, None)
+    graphs, same = loop_graphs([(0, 1), (1, 2), (2, 2), (2, 1), (1, 5), (2, 6)], 0)
+    assert {g for g, *_ in graphs} == {"func", "func/loop#1", "func/loop#1/loop#0"} and [k for *_, k in graphs].count("loop") >= 2
+    assert all(a != b for _, a, b, _ in graphs) and {o for _, _, o in same} == {1, 2, *[o for _, _, o in same if o > 6]}
