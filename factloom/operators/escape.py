@@ -87,19 +87,26 @@ def update_places(formulas: DataFrame) -> DataFrame:
 
 def flows(edges: DataFrame, parameters: DataFrame) -> DataFrame:
     """(source, target, site, move) from edges (site, kind, target, value, callee, position): an assignment flows from value to
-    target; an argument into its parameter (callee, position, name); what is returned out to the call's target."""
+    target; an argument into its parameter (callee, position, name); what is returned out to the call's target; where edges have
+    an ``instance``, the object of a call into the callee's ``this``."""
     assign = edges.filter(F.col("kind") == "assign").select(F.col("value").alias("source"), "target", "site", F.lit("stay").alias("move"))
     calls = edges.filter(F.col("kind") == "call")
     passed = calls.filter("value IS NOT NULL").join(parameters, ["callee", "position"]).select(F.col("value").alias("source"), F.col("name").alias("target"), "site", F.lit("call").alias("move"))
     back = calls.filter("target IS NOT NULL").select(F.concat("callee", F.lit(":return")).alias("source"), "target", "site", F.lit("return").alias("move"))
-    return assign.unionByName(passed).unionByName(back).distinct()
+    out = assign.unionByName(passed).unionByName(back)
+    if "instance" in edges.columns:
+        out = out.unionByName(calls.filter("instance IS NOT NULL").select(F.col("instance").alias("source"), F.concat("callee", F.lit(":this")).alias("target"), "site", F.lit("call").alias("move")))
+    return out.distinct()
 
 
-def heap_writes(reads: DataFrame, writes: DataFrame, versions: DataFrame) -> DataFrame:
+def heap_writes(reads: DataFrame, writes: DataFrame, versions: DataFrame, *, first_run: bool = True) -> DataFrame:
     """(read, place, site): writers of a place that is read, or of one that it matches, at sites whose version is current.
 
-    reads (read, base, chain), writes (place, site, version), versions (site, version).
+    reads (read, base, chain), writes (place, site, version), versions (site, version). After the first run writes of
+    ``kind`` initializer, if there is such a column, don't count: they were met in it.
     """
+    if not first_run:
+        writes = writes.filter("kind <> 'initializer'")
     wanted = reads.select("read", F.explode(matches(F.col("base"), F.col("chain"))).alias("m")).select("read", "m.place")
     now = writes.join(versions, ["site", "version"], "left_semi")
     return wanted.join(now.select("place", "site"), "place").select("read", "place", "site").distinct()

@@ -52,6 +52,26 @@ def trim(edges: DataFrame, entry: DataFrame, exits: DataFrame) -> DataFrame:
     return reach(edges, entry).join(reach(edges, exits, backward=True), "node", "left_semi")
 
 
+def flatten_skips(edges: DataFrame, skips: DataFrame) -> DataFrame:
+    """(src, dst) of edges with nodes whose only way on is a skip edge (node, next) left out: edges lead to where the skips end.
+
+    A node with more than one skip, or with another edge beside it, stays.
+    """
+    edges = once(edges.select("src", "dst").distinct(), "edges")
+    single = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).filter("n = 1")
+    plain = skips.select(F.col("node").alias("src"), F.col("next").alias("dst")).distinct().join(single.select("src", "dst"), ["src", "dst"])
+    ends = once(follow(plain.select(F.col("src").alias("node"), F.col("dst").alias("next"))), "ends")
+    kept = edges.join(ends.select(F.col("node").alias("src")), "src", "left_anti")
+    return kept.join(ends.select(F.col("node").alias("dst"), "target"), "dst", "left").select("src", F.coalesce("target", "dst").alias("dst")).distinct()
+
+
+def reentered(edges: DataFrame, body: DataFrame, head: DataFrame) -> DataFrame:
+    """(src, dst): edges that enter a loop's body elsewhere than at its head."""
+    inside = body.select("node").distinct()
+    into = edges.join(inside.select(F.col("node").alias("dst")), "dst", "left_semi").join(head.select(F.col("node").alias("dst")), "dst", "left_anti")
+    return into.join(inside.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst").distinct()
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, *, depth: int | None = None) -> DataFrame:
     """(src, dst, hops): nodes that a path of at least one edge (at most ``depth``, if given) leads to, with the fewest edges."""
     edges = once(edges, "edges")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import ir
 from factloom.functions.solver import Context
-from factloom.operators import callgraph, escape, joins, library, symbolic
+from factloom.operators import callgraph, escape, graph, joins, library, symbolic
 from factloom.plans.catalog import query
-from factloom.plans.tables import table
+from factloom.plans.tables import FLOW, STEPS, entry_and_head, flow, points, steps, table
 
 
 def put(*xs):
@@ -344,3 +344,29 @@ def declaration_order(spark, sf_dir: str) -> DataFrame:
     both = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     uses = both.select(world.alias("src"), r.alias("dst")).unionByName(both.select(r.alias("src"), n.alias("dst"))).unionByName(both.select(n.alias("src"), c.alias("dst"))).distinct()
     return diff.declarations(uses.filter("src = 'World'").select(F.col("src").alias("node")).distinct(), uses)
+
+
+# --- skips, entries into loops
+
+
+@query(f"""WITH {STEPS}, skip AS (SELECT node FROM points AS p WHERE flag = 'N' AND place < n),
+hops AS (SELECT node, min(t.target) AS target FROM skip JOIN (SELECT p.node AS target, p.first FROM points AS p WHERE p.node NOT IN (SELECT node FROM skip)) AS t ON t.target > skip.node AND t.first = (skip.node // 1000) * 1000 + 1 GROUP BY node)
+SELECT DISTINCT src, coalesce(target, dst) AS dst FROM edges LEFT JOIN hops ON hops.node = dst WHERE src NOT IN (SELECT node FROM skip)""")
+def flatten_skips(spark, sf_dir: str) -> DataFrame:
+    """Points with flag N do nothing but go on."""
+    p = points(spark, sf_dir)
+    return graph.flatten_skips(steps(spark, sf_dir), p.filter("flag = 'N' AND place < n").select("node", (F.col("node") + 1).alias("next")))
+
+
+@query(f"WITH {FLOW}, inside AS (SELECT node, first FROM points WHERE place BETWEEN 2 AND 4) SELECT DISTINCT src, dst FROM edges WHERE dst IN (SELECT node FROM inside) AND src NOT IN (SELECT node FROM inside) AND dst NOT IN (SELECT node FROM points WHERE place = 2)")
+def loop_reentries(spark, sf_dir: str) -> DataFrame:
+    return graph.reentered(flow(spark, sf_dir), points(spark, sf_dir).filter("place BETWEEN 2 AND 4").select("node"), entry_and_head(spark, sf_dir)[1])
+
+
+@query("""WITH e AS (SELECT l_orderkey AS site, l_returnflag AS flag, 'v' || l_suppkey AS value, 'f' || l_suppkey AS callee, 'o' || l_partkey AS o FROM lineitem)
+SELECT DISTINCT o AS source, callee || ':this' AS target, site, 'call' AS move FROM e WHERE flag = 'R' UNION ALL SELECT DISTINCT value, 't', site, 'stay' FROM e WHERE flag = 'A'""")
+def instance_flows(spark, sf_dir: str) -> DataFrame:
+    flag, none = F.col("l_returnflag"), F.lit(None).cast("string")
+    lines = table(spark, sf_dir, "lineitem")
+    edges = lines.select(F.col("l_orderkey").alias("site"), F.when(flag == "A", "assign").otherwise("call").alias("kind"), F.when(flag == "A", "t").alias("target"), F.when(flag == "A", put("v", F.col("l_suppkey"))).alias("value"), put("f", F.col("l_suppkey")).alias("callee"), F.lit(0).alias("position"), F.when(flag == "R", put("o", F.col("l_partkey"))).otherwise(none).alias("instance"))
+    return escape.flows(edges, edges.select("callee", "position", F.lit("p").alias("name")).limit(0))
