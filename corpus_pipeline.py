@@ -70,7 +70,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
     left, again = keyed.join(few(gone), ["k1", "k2"], "left_anti"), few(again)
-    once = left.join(again, ["k1", "k2"], "left_anti").unionByName(left.join(again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    # Of rows of one id and text that differ elsewhere the first by its columns' text stays.
+    one = left.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by(F.struct("row", "text"), F.to_json("row")).alias("x")).select("x.row", "x.text", "k1", "k2")
+    once = left.join(again, ["k1", "k2"], "left_anti").unionByName(one)
     return _back(once, docs)
 
 
