@@ -266,3 +266,16 @@ def test_places_and_nested_loops(spark):
     graphs, same = loop_graphs([(0, 1), (1, 2), (2, 2), (2, 1), (1, 5), (2, 6)], 0)
     assert {g for g, *_ in graphs} == {"func", "func/loop#1", "func/loop#1/loop#0"} and [k for *_, k in graphs].count("loop") >= 2
     assert all(a != b for _, a, b, _ in graphs) and {o for _, _, o in same} == {1, 2, *[o for _, _, o in same if o > 6]}
+
+
+def test_report_pages_with_values_traits_and_neighbours(spark):
+    shape = "name string, kind string, file string, frames array<struct<function string, points array<struct<file string, line int, text string, values array<struct<name string, value int>>>>>>, traits array<string>"
+    point = ("a.c", 3, "x < y", [("x", 5)])
+    rows = [(f"k$a.c$f{i}$loop$0", "k", "a.c", [(f"f{i}", [point])], ["Field x"]) for i in range(3)]
+    reports = spark.createDataFrame(rows, shape)
+    xml = sinks.report_xml(reports).first().xml
+    assert "<value><name>x</name><is>5</is></value>" in xml and "<trait>Field x</trait>" in xml and "x &lt; y" in xml
+    pages = {r.name: r for r in sinks.report_pages(reports, spark.createDataFrame([(rows[0][0],)], "name string"), "2024-01-02").collect()}
+    first, second = pages[rows[0][0]], pages[rows[1][0]]
+    assert "(new)" not in first.html and "(new)" in second.html and "previous" not in first.html and second.html.count("href") == 2
+    assert "<i>x = 5</i>" in second.html and "2024-01-02" in second.html and second.page.startswith("f1_")
