@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -756,3 +756,25 @@ def sufficient_conditions(edges: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["function", "kind", "point", "sufficient"])
 
     return edges.groupBy("function").applyInPandas(solve, "function string, kind string, point int, sufficient string")
+
+
+def annotation_bits(annotations: DataFrame) -> DataFrame:
+    """(name, bit, error) of annotations (name, text): their formula in normal form, or why the text is none.
+
+    The grammar is that of ir.parse(): arithmetic, comparisons, & | !, names, fields, elements, bounds and terminators. Nothing is run.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = []
+            for name, text in zip(frame.name, frame.text, strict=True):
+                try:
+                    b = ir.parse(text or "")
+                    b = b if isinstance(b, Bit) else ir.nonzero(b)
+                    rows.append((name, str(b), None))
+                except (SyntaxError, ValueError, KeyError, AttributeError, TypeError, RecursionError) as e:
+                    rows.append((name, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["name", "bit", "error"])
+
+    kind = annotations.schema["name"].dataType.simpleString()
+    return annotations.select("name", "text").mapInPandas(read, f"name {kind}, bit string, error string")

@@ -370,3 +370,12 @@ def instance_flows(spark, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     edges = lines.select(F.col("l_orderkey").alias("site"), F.when(flag == "A", "assign").otherwise("call").alias("kind"), F.when(flag == "A", "t").alias("target"), F.when(flag == "A", put("v", F.col("l_suppkey"))).alias("value"), put("f", F.col("l_suppkey")).alias("callee"), F.lit(0).alias("position"), F.when(flag == "R", put("o", F.col("l_partkey"))).otherwise(none).alias("instance"))
     return escape.flows(edges, edges.select("callee", "position", F.lit("p").alias("name")).limit(0))
+
+
+@query("""SELECT p_partkey AS name, CASE WHEN p_size % 7 = 0 THEN NULL ELSE '(' || CASE WHEN p_size = 3 THEN '(x <= 0)' WHEN p_size > 3 THEN '(x + ' || p_size - 3 || ' <= 0)' ELSE '(x - ' || 3 - p_size || ' <= 0)' END || ' & (y - 2 != 0))' END AS bit, p_size % 7 = 0 AS failed FROM part""")
+def annotation_bits(spark, sf_dir: str) -> DataFrame:
+    """Texts of annotations, some of which aren't formulas."""
+    size = F.col("p_size")
+    text = F.when(size % 7 == 0, put("x + ", size, " <= import(")).otherwise(put("x + ", size, " <= 3 & !(y == 2)"))
+    found = symbolic.annotation_bits(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), text.alias("text")))
+    return found.select("name", "bit", F.col("error").isNotNull().alias("failed"))
