@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import materialize, scratch_path, small_batches
+from factloom.session import drop, drop_path, materialize, scratch_path, small_batches
 
 ARCHIVE_BYTES, BROADCAST_BYTES, TASK_BYTES = 8 << 20, 16 << 20, 64 << 20
 #: Digits of a date or length in a header line; others than these aren't numbers there.
@@ -286,6 +286,7 @@ def convert(spark, source: str, target: str, least: int = LEAST_REVISIT) -> None
         pairs = archives.repartition(tasks, "path").join(again.repartition(tasks, "path"), "path", "left")
     with small_batches(spark, 8):
         pairs.select("content", "again").mapInArrow(rewrite, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").text(target)
+    drop(meta, again)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -324,6 +325,7 @@ def op9_legacy_archives(spark, sf_dir: str) -> DataFrame:
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     write_arc(pages.select("page_id", "url", F.col("html").alias("payload"), day.alias("date")), arc)
     convert(spark, arc, warc)
+    drop_path(spark, arc)
     return resolve(read_warc(spark, warc)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
