@@ -123,3 +123,25 @@ def test_invariants():
     bits = [b for _, b in found]
     assert ir.parse("k <= k__0") in bits and ir.parse("3 * (i - i__0) == j - j__0") in bits and ir.parse("i <= n") in bits
     assert symbolic.loop_invariants(symbolic.Block([(0, 1, "assign", "x", "x * x")])) == []
+
+
+def bodies(spark, n):
+    rows = [(f"f{i}", s, s + 1, k, a, b) for i in range(n) for s, k, a, b in ((0, "assume", "i < n", None), (1, "assign", "i", "i + 1"), (2, "assign", "z", "b[i]"))]
+    return spark.createDataFrame(rows, symbolic.EDGES).coalesce(1)
+
+
+@pytest.mark.parametrize("step", ["block_guards", "block_assertions", "inferred_invariants", "function_results"])
+def test_functions_are_dealt_to_many_tasks(spark, step):
+    # 600 rows are few bytes, but a symbolic run each: adaptive execution put them into one task.
+    found = getattr(symbolic, step)(bodies(spark, 200))
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert found.select("function").distinct().count() == 200
+
+
+def test_searches_are_dealt_to_many_tasks(spark, monkeypatch):
+    seen, step = [], symbolic.map_groups
+    monkeypatch.setattr(symbolic, "map_groups", lambda *a: seen.append(step(*a)) or seen[-1])
+    edges = [(str(i), f, 0, 1, k, a, b) for i in range(40) for f, k, a, b in (("callee", "assign", "z", "b[arg]"), ("caller", "call", "callee", str(i % 3)))]
+    found = symbolic.check_reports(spark.createDataFrame(edges, "component string, " + symbolic.EDGES).coalesce(1))
+    assert found.filter("kind = 'read_underflow' AND verdict = 'success' AND path = 'callee < caller'").count() == 40
+    assert len(seen) == 2 and all(df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism for df in seen)
