@@ -114,7 +114,7 @@ def callers_of(calls: DataFrame, changed: DataFrame) -> DataFrame:
 
 def modsets(calls: DataFrame, own: DataFrame, *, passes: int | None = None) -> DataFrame:
     """(function, lval): what a function modifies itself or through its callees, to the fixpoint or as far as so many calls deep."""
-    over = once(calls.select(F.col("callee").alias("node"), F.col("caller").alias("to")).distinct(), "calls")
+    over = once(calls.select(F.col("callee").alias("node"), F.col("caller").alias("to")), "calls", count=True)
     return spread(own.select("function", "lval"), over, "function", bound=passes)
 
 
@@ -126,7 +126,7 @@ def argument_modsets(calls: DataFrame, own: DataFrame) -> DataFrame:
 
 def can_collect(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """Functions that call a root, at any depth, and the roots."""
-    return spread(roots.select("node"), once(calls.select(F.col("callee").alias("node"), F.col("caller").alias("to")).distinct(), "calls"))
+    return spread(roots.select("node"), once(calls.select(F.col("callee").alias("node"), F.col("caller").alias("to")), "calls", count=True))
 
 
 def summary_at_calls(calls: DataFrame, assumes: DataFrame) -> DataFrame:

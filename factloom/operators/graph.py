@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from factloom.plans.fixpoint import iterate, spread
+from factloom.plans.fixpoint import iterate, leave_ranges, spread
+from factloom.plans.fragments import can_deal, contexts, in_ranges, longest
 from factloom.session import drop, materialize, once, rows
 
 
+def _over(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Columns of a written table of edges as (node, to), which stays one."""
+    out = edges.select(F.col(a).alias("node"), F.col(b).alias("to"))
+    out._factloom_path = edges._factloom_path
+    out._factloom_rows = getattr(edges, "_factloom_rows", None)
+    return out
+
+
 def reach(edges: DataFrame, seeds: DataFrame, *, backward: bool = False, avoid: DataFrame | None = None) -> DataFrame:
     """Nodes reachable from seeds, seeds included, over paths that don't enter ``avoid``."""
     a, b = ("dst", "src") if backward else ("src", "dst")
-    over = once(edges, "edges").select(F.col(a).alias("node"), F.col(b).alias("to"))
+    over = _over(once(edges, "edges"), a, b)
     start = seeds.select("node")
     if avoid is not None:
-        over = materialize(over.join(avoid.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to"), "edges")
+        over = materialize(over.join(avoid.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to"), "edges", narrow=True)
         start = start.join(avoid.select("node"), "node", "left_anti")
     return spread(start, over)
 
@@ -76,9 +86,8 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, *, depth: int | No
     """(src, dst, hops): nodes that a path of at least one edge (at most ``depth``, if given) leads to, with the fewest edges."""
     edges = once(edges, "edges")
     first = edges if seeds is None else edges.join(seeds.select(F.col("node").alias("src")), "src", "left_semi")
-    start = first.select("src", "dst", F.lit(1).cast("long").alias("hops")).distinct()
-    over = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
-    return spread(start, over, "dst", hops="hops", bound=None if depth is None else depth - 1)
+    start = first.select("src", "dst", F.lit(1).cast("long").alias("hops"))
+    return spread(start, _over(edges, "src", "dst"), "dst", hops="hops", bound=None if depth is None else depth - 1, start=1)
 
 
 def bounded_closure(edges: DataFrame, seeds: DataFrame, *, depth: int) -> tuple[DataFrame, bool]:
@@ -94,11 +103,12 @@ def context_closure(edges: DataFrame, seeds: DataFrame, *, max_context: int = 4)
     move is 'call', 'return' or 'stay'. A return from an empty context is free. A context holds its last ``max_context``
     sites: an older one is forgotten, so that a return to it is free. That bounds contexts under recursion, and no flow is lost by it.
     """
-    over = once(edges, "edges").select(F.col("source").alias("target"), F.col("target").alias("to"), "site", "move")
+    edges = once(edges, "edges", count=True)
+    over = edges.select(F.col("source").alias("target"), F.col("target").alias("to"), "site", "move")
     start = seeds.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit("").alias("context"))
 
-    def step(new: DataFrame) -> DataFrame:
-        met = new.join(over, "target")
+    def step(new: DataFrame, few: bool = False) -> DataFrame:
+        met = over.join(F.broadcast(new), "target") if few else new.join(over, "target")
         sites = F.filter(F.split("context", "/"), lambda s: s != "")
         depth = F.size(sites)
         pushed = F.array_join(F.slice(F.concat(F.when(depth >= max_context, F.slice(sites, depth - max_context + 2, F.lit(max_context))).otherwise(sites), F.array("site")), 1, max_context), "/")
@@ -107,6 +117,13 @@ def context_closure(edges: DataFrame, seeds: DataFrame, *, max_context: int = 4)
         context = F.when(F.col("move") == "call", pushed).when(F.col("move") == "return", back).otherwise(F.col("context"))
         return met.select("source", F.col("to").alias("target"), context.alias("context")).filter("context IS NOT NULL")
 
+    types = [edges.schema[c].dataType for c in ("source", "target")]
+    if max_context > 0 and can_deal(*types, start.schema["target"].dataType) and isinstance(edges.schema["site"].dataType, StringType):
+        start = once(start, "start", count=True)
+        closed = in_ranges(edges.select(F.col("source").alias("node"), F.col("target").alias("to"), "site", "move"), start, "target", contexts(max_context), StructType([start.schema[c] for c in ("target", "source", "context")]), "contexts")
+        found = leave_ranges(closed, start.columns, None, step)
+        if found is not None:
+            return found
     return iterate(start, step)
 
 
@@ -115,16 +132,17 @@ def stages(nodes: DataFrame, edges: DataFrame, indirect: DataFrame | None = None
 
     A node enters stage k when all its callees that are nodes have entered earlier ones and it has no indirect call. A node
     that calls itself never does. A node misses stage k if it has an indirect call or a callee that missed stage k - 1; the
-    first stage that it doesn't miss is its own. So the stages are a chain of joins over one written table.
+    first stage that it doesn't miss is its own. So the stages are joins of one written table with what missed the stage before, written too:
+    a later stage doesn't run the earlier ones again.
     """
-    pending = nodes.select("node").distinct()
+    pending = materialize(nodes.select("node").distinct(), "pending", narrow=True)
     live = edges.select("src", "dst").distinct().join(pending.select(F.col("node").alias("dst")), "dst", "left_semi")
     live = materialize(live.join(pending.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"), "live")
-    never = pending.limit(0) if indirect is None else indirect.select("node").join(pending, "node", "left_semi").distinct()
+    never = materialize(pending.limit(0) if indirect is None else indirect.select("node").join(pending, "node", "left_semi").distinct(), "never", narrow=True)
     missed, every = None, None
     for k in range(n_stages):
         above = live if missed is None else live.join(missed.select(F.col("node").alias("dst")), "dst", "left_semi")
-        missed = above.select(F.col("src").alias("node")).unionByName(never).distinct()
+        missed = materialize(above.select(F.col("src").alias("node")).unionByName(never).distinct(), "missed", narrow=True)
         part = missed.withColumn("k", F.lit(k + 1))
         every = part if every is None else every.unionByName(part)
     if every is None:
@@ -135,7 +153,11 @@ def stages(nodes: DataFrame, edges: DataFrame, indirect: DataFrame | None = None
 
 def levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, level) in an acyclic graph: the most edges on a path from a seed. Raises where seeds lead to a cycle."""
-    over = once(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct(), "edges", count=True)
+    over = _over(once(edges, "edges", count=True), "src", "dst")
+    found = _levels_in_ranges(over, seeds) if can_deal(over.schema["node"].dataType, over.schema["to"].dataType, seeds.schema["node"].dataType) else None
+    if found is not None:
+        return found
+    over = once(over.distinct(), "edges", count=True)
     most = lambda df: df.groupBy("node").agg(F.max("level").alias("level"))
     known = new = materialize(seeds.select("node", F.lit(0).cast("long").alias("level")).distinct(), "levels-0", count=True)
     done, steps = 0, 4
@@ -156,6 +178,20 @@ def levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return known
 
 
+def _levels_in_ranges(over: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    """levels() by ranges of nodes, as least numbers below zero; None at a cycle in one, or where paths run through many."""
+    start = materialize(seeds.select("node", F.lit(0).cast("long").alias("least")), "levels", count=True, narrow=True)
+    closed = in_ranges(over, start, "node", longest, StructType([start.schema["node"], StructField("least", LongType())]), "ranges")
+    if not closed.filter("least IS NULL").isEmpty():
+        return None
+
+    def move(new: DataFrame, few: bool) -> DataFrame:
+        return over.join(F.broadcast(new) if few else new, "node").select(F.col("to").alias("node"), (F.col("least") - 1).alias("least"))
+
+    found = leave_ranges(closed, ["node", "least"], "least", move)
+    return None if found is None else found.select("node", (-F.col("least")).alias("level"))
+
+
 def follow(skips: DataFrame) -> DataFrame:
     """(node, target): where chains of skip edges (node, next) lead, by pointer jumping; a cycle of skips leads nowhere.
 
