@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.plans.fixpoint import iterate, spread
-from factloom.session import once
+from factloom.session import materialize, once
 
 
 def direct_calls(calls: DataFrame) -> DataFrame:
@@ -35,9 +35,25 @@ def all_targets(sites: DataFrame, flows: DataFrame, functions: DataFrame, virtua
     back = once(flows.select(F.col("target").alias("node"), F.col("source").alias("to")).distinct(), "flows")
     asked = sites.filter("pointer IS NOT NULL").select("pointer", F.col("pointer").alias("node")).distinct()
     found = spread(asked.withColumn("moves", F.lit(0)), back, hops="moves", bound=depth).select("pointer", F.col("node").alias("function"))
-    direct = sites.filter("pointer IS NOT NULL").select("site", "pointer", "arity").join(found, "pointer").join(functions.select("function", "arity"), ["function", "arity"])
+    known = found.join(functions.select("function", "arity").distinct(), "function").groupBy("pointer", "arity").agg(F.collect_set("function").alias("functions"))
+    known = materialize(known, "targets", narrow=True)
+    one_arity = functions.groupBy("function").agg(F.countDistinct("arity").alias("n")).filter("n > 1").isEmpty()
+    direct = _targets_at_sites(sites.filter("pointer IS NOT NULL").select("site", "pointer", "arity").distinct(), known, ["site", "arity"] if one_arity else ["site"])
     through = sites.filter("class IS NOT NULL").select("site", "class", "method").join(virtual, ["class", "method"])
-    return direct.select("site", "function", F.lit("pointer").alias("how")).unionByName(through.select("site", "function", F.lit("virtual").alias("how"))).distinct()
+    return direct.select("site", "function", F.lit("pointer").alias("how")).unionByName(through.select("site", "function", F.lit("virtual").alias("how")).distinct())
+
+
+def _targets_at_sites(pairs: DataFrame, known: DataFrame, apart: list[str]) -> DataFrame:
+    """(site, function), once each, of distinct pairs (site, pointer, arity) and the functions of each pointer and arity.
+
+    Functions go as a list for a pair, and rows are made of the lists last: where a site has one pair they are distinct as they
+    are, and only lists of sites with several pairs meet to be told apart. ``apart``: columns of pairs, site among them, of which
+    pairs that differ in them share no function.
+    """
+    counted = materialize(pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*apart))), "pairs", narrow=True)
+    met = counted.join(known, ["pointer", "arity"])
+    several = met.filter("_n > 1").groupBy(*apart).agg(F.array_distinct(F.flatten(F.collect_list("functions"))).alias("functions"))
+    return met.filter("_n = 1").select("site", F.explode("functions").alias("function")).unionByName(several.select("site", F.explode("functions").alias("function")))
 
 
 def receiver_chains(bases: DataFrame, calls: DataFrame) -> DataFrame:

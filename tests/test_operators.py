@@ -279,3 +279,15 @@ def test_report_pages_with_values_traits_and_neighbours(spark):
     first, second = pages[rows[0][0]], pages[rows[1][0]]
     assert "(new)" not in first.html and "(new)" in second.html and "previous" not in first.html and second.html.count("href") == 2
     assert "<i>x = 5</i>" in second.html and "2024-01-02" in second.html and second.page.startswith("f1_")
+
+
+def test_indirect_targets_are_told_apart_as_lists(spark):
+    # A row per site and target went through the last exchange; lists of few sites are enough.
+    sites = spark.createDataFrame([(1, "p", 1, None, None), (1, "p", 1, None, None), (2, "p", 1, None, None), (2, "q", 1, None, None), (2, "q", 0, None, None), (3, None, None, "C", "m"), (3, None, None, "C", "m"), (None, "p", 1, None, None)], "site long, pointer string, arity int, class string, method string")
+    flows = spark.createDataFrame([("f", "x"), ("g", "x"), ("x", "p"), ("g", "q"), ("h", "q"), ("g", "q")], "source string, target string")
+    functions = spark.createDataFrame([("f", 1), ("g", 1), ("g", 0), ("h", 0), ("h", 0)], "function string, arity int")
+    found = callgraph.all_targets(sites, flows, functions, spark.createDataFrame([("C", "m", "C::m")], "class string, method string, function string"))
+    assert got(found) == sorted([(1, "f", "pointer"), (1, "g", "pointer"), (2, "f", "pointer"), (2, "g", "pointer"), (2, "h", "pointer"), (3, "C::m", "virtual"), (None, "f", "pointer"), (None, "g", "pointer")], key=str)
+    single = callgraph.all_targets(sites, flows, functions.filter("function <> 'g' OR arity = 1"), spark.createDataFrame([("C", "m", "C::m")], "class string, method string, function string"))
+    assert got(single) == got(found)
+    assert "_distinct(flatten" in found._jdf.queryExecution().optimizedPlan().toString()
