@@ -145,3 +145,11 @@ def test_searches_are_dealt_to_many_tasks(spark, monkeypatch):
     found = symbolic.check_reports(spark.createDataFrame(edges, "component string, " + symbolic.EDGES).coalesce(1))
     assert found.filter("kind = 'read_underflow' AND verdict = 'success' AND path = 'callee < caller'").count() == 40
     assert len(seen) == 2 and all(df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism for df in seen)
+
+
+def test_programs_of_suppliers_are_dealt_to_many_tasks(spark):
+    # The table is one part of a file, so that one task ran every program.
+    from factloom.plans import catalog_program
+
+    found = catalog_program.other_assertions(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
